@@ -77,7 +77,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     found: DataFrame | None = None
     while not left.isEmpty():
         hook = written(
-            left.select(F.inline(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("p")), F.struct("b", "a"))))
+            left.select(F.inline(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("p")), F.struct(F.col("b").alias("id"), F.col("a").alias("p")))))
             .groupBy("id")
             .agg(F.least("id", F.min("p")).alias("p")),
             name,

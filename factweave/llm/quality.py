@@ -15,6 +15,7 @@ whatever their names, are never read.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,8 +44,8 @@ def _share(part: Column, whole: Column) -> Column:
     return F.sqrt(part / F.greatest(whole, F.lit(1)))
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id and the transformed statistics of each whole text."""
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """The id, the columns of ``keep`` and the transformed statistics of each whole text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
 
     def of(t: Column, s: Column) -> Column:
@@ -72,7 +73,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     made = let(text, lambda t: let(
         F.struct(words(t).alias("w"), F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, WS_CHARS, "")) > 0).alias("l")), lambda s: of(t, s)
     ))
-    return docs.select(F.col(id_col).alias("doc_id"), F.inline(F.array(made)))
+    return docs.select(F.col(id_col).alias("doc_id"), *[c for c in keep if c != "doc_id"], F.inline(F.array(made)))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -129,6 +130,12 @@ def score(model: Model) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
 
 
+def score_rows(docs: DataFrame, labels: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """The columns of ``keep`` and the score of every row. Texts are read twice rather than stored with their statistics."""
+    model = fit(statistics(docs), labels)
+    return statistics(docs, keep=keep).select(*keep, score(model).alias("score"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted per document."""
     stats = written(statistics(docs), "quality")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, quality, reshard, rules, warc
+from . import chat, digest, jaccard, linededup, mixing, pieces, quality, reshard, rules, warc
 from .common import scratch, table
 
 
@@ -20,6 +20,14 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_deleted", "text")
 
@@ -34,6 +42,14 @@ def op6_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")))
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits")
@@ -45,7 +61,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_mixing, op5_line_dedup, op6_resharding, op9_rule_ledger, op10_warc)
+    f.__name__: f for f in (op1_quality_classifier, op2_mixing, op3_sentencepiece, op4_chat_formatting, op5_line_dedup, op6_resharding, op7_fingerprints, op8_ngram_jaccard, op9_rule_ledger, op10_warc)
 }
 
 SQL: dict[str, str] = {}
@@ -117,3 +133,30 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
 FROM y
 """
+
+SQL["op8_ngram_jaccard"] = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT r, array_to_string(w[i:i+2], ' ') AS g FROM (SELECT r, w, unnest(CASE WHEN len(w) >= 3 THEN range(1, len(w) - 1) WHEN len(w) > 0 THEN [1] ELSE [] END) AS i FROM d)
+), n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+x AS (
+  SELECT a.r AS a, b.r AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.r < b.r
+  JOIN n na ON na.r = a.r JOIN n nb ON nb.r = b.r AND 100 * least(na.n, nb.n) >= 90 * greatest(na.n, nb.n) GROUP BY a.r, b.r
+), e AS (
+  SELECT a, b FROM x JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE 100 * common >= 90 * (na.n + nb.n - common)
+), l AS (
+  SELECT da.doc_id AS a, db.doc_id AS b FROM e JOIN d da ON da.r = e.a JOIN d db ON db.r = e.b
+), both_ways AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach AS (
+  SELECT doc_id AS id, doc_id AS root FROM d UNION SELECT b.b, r.root FROM reach r JOIN both_ways b ON r.id = b.a
+), c AS (SELECT id, min(root) AS root FROM reach GROUP BY id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.root AS component_id FROM d LEFT JOIN n USING (r) JOIN c ON c.id = d.doc_id
+"""
+
+#: Holds for tables without tool calls; with them, SQL lacks the schema checks and the levels.
+SQL["op4_chat_formatting"] = r"""
+SELECT conv_id, turn, role, turn AS anchor_turn, CAST(0 AS INTEGER) AS level, CAST(0 AS INTEGER) AS call_index, 'message' AS status,
+  CAST(NULL AS VARCHAR[]) AS errors, '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}' AS json
+FROM conversations
+"""
