@@ -1,34 +1,34 @@
 """WARC archives with an index that is written first and read first.
 
-``write`` lays records out in archives of one shard each and keeps an index of file, offset, length, URL
-and digest per record. ``read`` sorts the chosen index rows by file and offset, joins neighbouring byte
-ranges into one read each, and parses the records out of these ranges; nothing else is read.
+``write`` makes gzip-compressed archives, one member per record, and an index of file, offset, length,
+URL and digest per record. ``read`` sorts the chosen index rows by file and offset, joins neighbouring
+byte ranges into one read each, and parses the records out of these ranges; nothing else is read.
 
-An archive is written by Spark's own text sink, whose line separator is the blank line that ends a record,
-so it goes to any store that Spark writes to and a lost executor's archives are written again.
+The task that writes an archive yields its index rows, and Spark commits these rows. Archives have unique
+names, so what a lost or repeated attempt has written is named by no index row and is never read.
+Archives go to any store that pyarrow's file systems reach; the path must be one that all executors share.
 
 Defined results: a null payload is empty; a null URL is written as an empty target URI and read as null;
 equal payloads of at least ``min_revisit_bytes`` bytes have one response, that of the largest id, and
-revisits that refer to it (of rows that share id and payload, one is the response and the others revisit
-it); payloads may hold any bytes, blank lines and WARC headers included, since records are cut by offset;
-an empty table gives an archive without records; other columns are ignored.
+revisits that refer to it (rows that share this id and the payload are all responses, null ids are revisits
+if another id has the payload); payloads may hold any bytes, blank lines and WARC headers included,
+since records are cut by length; an empty table gives an empty index; other columns are ignored.
+A record is held whole by the task that writes or reads it.
 """
 
 from __future__ import annotations
 
-import io
+import gzip
 import re
-import urllib.parse
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-
 #: Fixed values of the format: RFC 4648 base32, WARC/1.1 and its profile for identical payloads.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 VERSION = "WARC/1.1"
@@ -36,7 +36,7 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 
-INDEX = "record_id bigint, url string, record_type string, payload_digest string, payload_bytes bigint, refers_to bigint, shard int, offset bigint, length bigint"
+INDEX = "record_id bigint, url string, record_type string, payload_digest string, payload_bytes bigint, refers_to bigint, file string, offset bigint, length bigint"
 RECORD = "record_id bigint, url string, record_type string, payload_digest string, payload_bytes bigint, refers_to bigint, payload binary"
 
 
@@ -48,8 +48,8 @@ def base32_sha1(data: Column) -> Column:
     return F.concat(*[letter(n, by) for n in parts for by in range(35, -1, -5)])
 
 
-def plan(pages: DataFrame, id_col: str, url_col: str, payload: Column, min_revisit_bytes: int, shards: int) -> DataFrame:
-    """Type, reference, shard and text of every record."""
+def plan(pages: DataFrame, id_col: str, url_col: str, payload: Column, min_revisit_bytes: int) -> DataFrame:
+    """Type, reference and payload of every record. Payloads are dealt out once at most."""
     rows = pages.select(
         F.col(id_col).cast("long").alias("record_id"), F.col(url_col).alias("url"),
         F.coalesce(payload.cast("binary"), F.lit("").cast("binary")).alias("payload"),
@@ -58,80 +58,67 @@ def plan(pages: DataFrame, id_col: str, url_col: str, payload: Column, min_revis
     firsts = (
         rows.where(F.col("payload_bytes") >= min_revisit_bytes)
         .groupBy(F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b"))
-        .agg(F.max("record_id").alias("first_id"), F.count("*").alias("n"), F.count_distinct("record_id").alias("ids"))
+        .agg(F.max("record_id").alias("first_id"), F.count("*").alias("n"))
         .where("n > 1")
     )
     linked = rows.join(firsts, (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") == F.col("b")), "left")
-    # Only rows of a repeated id need to be told apart; the others are each a partition of one.
-    same = W.partitionBy("record_id", "payload_digest").orderBy(F.lit(0))
-    turn = F.when(F.col("n") > F.col("ids"), F.row_number().over(same)).otherwise(1)
-    revisit = F.col("first_id").isNotNull() & (~F.col("record_id").eqNullSafe(F.col("first_id")) | (turn > 1))
+    revisit = F.col("first_id").isNotNull() & ~F.col("record_id").eqNullSafe(F.col("first_id"))
     return linked.select(
-        "record_id", "url", "payload", "payload_bytes", "payload_digest",
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, F.col("first_id")).alias("refers_to"),
-        F.pmod(F.xxhash64("record_id"), F.lit(shards)).cast("int").alias("shard"),
-    )
-
-
-def _record(kind: Column) -> Column:
-    """Headers and block of a record, without the blank line that ends it."""
-    http = F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: ")
-    head = F.concat(http, F.col("payload_bytes").cast("string"), F.lit(END))
-    body = F.when(kind == "response", F.col("payload").cast("string")).otherwise(F.lit(""))
-    block = F.octet_length(head) + F.octet_length(body)
-    return F.concat(
-        F.lit(f"{VERSION}\r\nWARC-Type: "), kind,
-        F.lit("\r\nWARC-Record-ID: <urn:x-record:"), F.coalesce(F.col("record_id").cast("string"), F.lit("none")),
-        F.lit(f">\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "), F.coalesce(F.regexp_replace("url", r"[\r\n]+", "%0A"), F.lit("")),
-        F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("payload_digest"),
-        F.when(kind == "revisit", F.concat(F.lit(f"\r\nWARC-Profile: {REVISIT}\r\nWARC-Refers-To: <urn:x-record:"), F.col("refers_to").cast("string"), F.lit(">"))).otherwise(F.lit("")),
-        F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), block.cast("string"),
-        F.lit(END), head, body,
+        "record_id", "url", "payload_digest", "payload_bytes",
+        F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"),
+        F.when(~revisit, F.col("payload")).alias("payload"),
     )
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload: Column | None = None, min_revisit_bytes: int = 0, shards: int = 64) -> DataFrame:
-    """Writes ``path/records/shard=k/`` and ``path/index``; returns the index.
-
-    The records are dealt out once and kept in their final order, so that the index, which is a running
-    sum of record lengths, and the archives come from the same rows.
-    """
-    payload = F.col("html") if payload is None else payload
-    rows = plan(pages, id_col, url_col, payload, min_revisit_bytes, shards).withColumn("value", _record(F.col("record_type"))).withColumn(
-        "length", F.octet_length("value").cast("long") + len(END)
-    )
-    order = ["record_id", "record_type", "url", "payload_digest"]
-    ahead = W.partitionBy("shard").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    index = rows.select("record_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "shard", F.coalesce(F.sum("length").over(ahead), F.lit(0)).alias("offset"), "length")
-    index.write.parquet(f"{path}/index")
-    (
-        rows.select("value", "shard", *order).repartition(shards, "shard").sortWithinPartitions("shard", *order)
-        .select("value", "shard").write.partitionBy("shard").option("lineSep", END).text(f"{path}/records")
-    )
+def record(row: dict) -> bytes:
+    """A WARC record. A revisit has the HTTP headers only."""
+    name = lambda n: f"<urn:x-record:{'none' if n is None else n}>"
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['payload_bytes']}{END}".encode() + (row["payload"] or b"")
+    url = re.sub(r"[\r\n]+", "%0A", row["url"] or "")
+    head = [VERSION, f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: {name(row['record_id'])}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{row['payload_digest']}"]
+    if row["record_type"] == "revisit":
+        head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {name(row['refers_to'])}"]
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + END.encode() + block + END.encode()
+
+
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+
+
+_INDEX = pa.schema([("record_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+
+
+def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload: Column | None = None, min_revisit_bytes: int = 0, roll: int = 1 << 30) -> DataFrame:
+    """Writes ``path/records`` and ``path/index``; returns the index. An archive is closed at ``roll`` bytes."""
+    rows = plan(pages, id_col, url_col, F.col("html") if payload is None else payload, min_revisit_bytes)
+
+    def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = store_of(f"{path}/records")
+        store.create_dir(top, recursive=True)
+        out, name, at = None, "", 0
+        for batch in batches:
+            index = []
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if out is None or at >= roll:
+                    if out is not None:
+                        out.close()
+                    name, at = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", 0
+                    out = store.open_output_stream(f"{top}/{name}", compression=None)
+                data = gzip.compress(record(row), 6, mtime=0)
+                out.write(data)
+                del row["payload"]
+                index.append(row | {"file": name, "offset": at, "length": len(data)})
+                at += len(data)
+            yield pa.RecordBatch.from_pylist(index, _INDEX)
+        if out is not None:
+            out.close()
+
+    rows.mapInArrow(archive, INDEX).write.parquet(f"{path}/index")
     return pages.sparkSession.read.schema(INDEX).parquet(f"{path}/index")
 
 
-def archives(spark: SparkSession, path: str) -> dict[int, str]:
-    """The archive of each shard; as many entries as shards."""
-    jvm = spark._jvm
-    top = jvm.org.apache.hadoop.fs.Path(f"{path}/records")
-    store = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    found: dict[int, str] = {}
-    for d in store.listStatus(top) if store.exists(top) else ():
-        if m := re.fullmatch(r"shard=(\d+)", d.getPath().getName()):
-            parts = [f for f in store.listStatus(d.getPath()) if f.getPath().getName().startswith("part-")]
-            if len(parts) != 1:
-                raise ValueError(f"{len(parts)} files for shard {m[1]}")
-            found[int(m[1])] = str(parts[0].getPath().toString())
-    return found
-
-
-def _open(uri: str):
-    store, path = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
-    return store.open_input_file(urllib.parse.unquote(path) if uri.startswith("file:") else path)
-
-
 def parse(data: bytes) -> dict:
     """A record; ``data`` ends with its blank line."""
     head, _, rest = data.partition(END.encode())
@@ -149,19 +136,16 @@ def parse(data: bytes) -> dict:
 def read(selected: DataFrame, path: str, gap: int = 65536, most: int = 8 << 20) -> DataFrame:
     """The records of the given index rows, by coalesced byte ranges.
 
-    Neighbours at most ``gap`` bytes apart are read at once, in reads of about ``most`` bytes. Runs are
-    dealt out by shard and stretch of the file, so that a large archive is read by many tasks.
+    Neighbours at most ``gap`` bytes apart are read at once, in reads of about ``most`` bytes. Index rows
+    are dealt out by file and stretch, so that a large archive is read by many tasks. A revisit's payload is empty.
     """
-    spark = selected.sparkSession
-    files = archives(spark, path)
-    stretch = F.floor(F.col("offset") / most)
-    wanted = selected.select("shard", stretch.alias("stretch"), "offset", "length")
-    placed = wanted.repartition(F.col("shard"), F.col("stretch")).sortWithinPartitions("shard", "offset")
-
-    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, int]]]:
-        run: list[tuple[int, int, int]] = []
+    wanted = selected.select("file", F.floor(F.col("offset") / most).alias("stretch"), "offset", "length")
+    placed = wanted.repartition("file", "stretch").sortWithinPartitions("file", "offset")
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, int, int]]]:
+        run: list[tuple[str, int, int]] = []
         for b in batches:
-            for row in zip(*(b.column(k).to_pylist() for k in ("shard", "offset", "length")), strict=True):
+            for row in zip(*(b.column(k).to_pylist() for k in ("file", "offset", "length")), strict=True):
                 if run and (row[0] != run[-1][0] or row[1] - sum(run[-1][1:]) > gap or row[1] + row[2] - run[0][1] > most):
                     yield run
                     run = []
@@ -170,17 +154,20 @@ def read(selected: DataFrame, path: str, gap: int = 65536, most: int = 8 << 20)
             yield run
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("record_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary())])
-        now, source = None, io.BytesIO()
+        schema = pa.schema([*(_INDEX.field(k) for k in ("record_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to")), ("payload", pa.binary())])
+        store, top = store_of(f"{path}/records")
+        now, source = None, None
         for run in ranges(batches):
             if run[0][0] != now:
-                source.close()
-                now, source = run[0][0], _open(files[run[0][0]])
+                if source is not None:
+                    source.close()
+                now, source = run[0][0], store.open_input_file(f"{top}/{run[0][0]}")
             start = run[0][1]
             source.seek(start)
             data = source.read(sum(run[-1][1:]) - start)
-            yield pa.RecordBatch.from_pylist([parse(data[o - start : o - start + n]) for _, o, n in run], schema)
-        source.close()
+            yield pa.RecordBatch.from_pylist([parse(gzip.decompress(data[o - start : o - start + n])) for _, o, n in run], schema)
+        if source is not None:
+            source.close()
 
     return placed.mapInArrow(fetch, RECORD)
 
