@@ -4,7 +4,7 @@ Statistics are transformed to be roughly symmetric. Each class gets its mean and
 moments that Spark sums over all labelled training rows; only the moments, whose number follows the
 number of statistics, reach the driver. Covariances are shrunk towards the pooled one and its scaled
 identity. The inverse Cholesky factors are computed once and held in the model, so that a score is the
-difference of two Mahalanobis log densities, as plain column arithmetic.
+difference of two Mahalanobis log densities, for a batch of rows at a time.
 
 Defined results: a null or empty text has all counts 0 and is scored like any other; labels that are
 null or not 0/1 and labels of unknown documents are not learnt from; of several labels of one document each
@@ -15,10 +15,12 @@ whatever their names, are never read.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,23 +86,29 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", shrink: flo
     """Learns from the labelled rows outside the held-out fold: all of them, by one aggregation."""
     train = stats.join(labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("y")), "doc_id").where(~held_out(F.col("doc_id")))
     d = len(FEATURES)
-    pairs = [(i, j) for i in range(d) for j in range(i + 1)]
-    col = lambda i: F.col(FEATURES[i])
-    sums = train.groupBy("y").agg(
-        F.count("*").cast("double").alias("n"),
-        F.array(*[F.sum(col(i)) for i in range(d)]).alias("s"), F.array(*[F.sum(col(i) * col(j)) for i, j in pairs]).alias("q"),
-    )
-    found = {r["y"]: r for r in sums.collect()}  # a row per class
-    n = np.array([found[y]["n"] if y in found else 0.0 for y in (0, 1)])
+    upper = np.triu_indices(d)
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 1 + d + len(upper[0])))
+        for b in batches:
+            x, y = np.column_stack([b.column(f).to_numpy() for f in FEATURES]), b.column("y").to_numpy()
+            for k in (0, 1):
+                mine = x[y == k]
+                total[k] += np.r_[len(mine), mine.sum(axis=0), (mine.T @ mine)[upper]]
+        k, i = np.indices(total.shape)
+        yield pa.RecordBatch.from_pydict({"y": k.ravel().astype(np.int32), "i": i.ravel().astype(np.int32), "v": total.ravel()})
+
+    sums = {(r[0], r[1]): r[2] for r in train.select("y", *FEATURES).mapInArrow(moments, "y int, i int, v double").groupBy("y", "i").agg(F.sum("v")).collect()}  # as many as moments
+    found = {y: np.array([sums.get((y, i), 0.0) for i in range(1 + d + len(upper[0]))]) for y in (0, 1)}
+    n = np.array([found[y][0] for y in (0, 1)])
     prior = tuple(((n + 1) / (n.sum() + 2)).round(9).tolist())
     if n.min() < 2:
         return Model(prior)
     means, covs = [], []
     for y in (0, 1):
-        mu = np.array(found[y]["s"]) / n[y]
+        mu = found[y][1 : 1 + d] / n[y]
         second = np.zeros((d, d))
-        for (i, j), q in zip(pairs, found[y]["q"], strict=True):
-            second[i, j] = second[j, i] = q / n[y]
+        second[upper] = second[upper[::-1]] = found[y][1 + d :] / n[y]
         means.append(mu)
         covs.append(second - np.outer(mu, mu))
     pooled = (covs[0] * n[0] + covs[1] * n[1]) / n.sum()
@@ -119,15 +127,16 @@ def score(model: Model) -> Column:
     """Probability of label 1, from the columns of ``statistics``."""
     if not model.means:
         return F.lit(model.prior[1])
-    dens = []
-    for y in (0, 1):
-        total = F.lit(-0.5 * model.log_dets[y] + float(np.log(model.prior[y])))
-        for i, row in enumerate(model.factors[y]):
-            z = sum((F.lit(row[j]) * (F.col(FEATURES[j]) - F.lit(model.means[y][j])) for j in range(i + 1)), F.lit(0.0))
-            total = total - F.lit(0.5) * F.pow(z, F.lit(2.0))
-        dens.append(total)
-    margin = F.greatest(F.lit(-500.0), F.least(F.lit(500.0), dens[1] - dens[0]))
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
+    means, factors = np.array(model.means), np.array(model.factors)
+    base = [np.log(model.prior[y]) - model.log_dets[y] / 2 for y in (0, 1)]
+
+    @F.pandas_udf("double")
+    def probability(x: pd.DataFrame) -> pd.Series:
+        values = x.to_numpy(float)
+        dens = [base[y] - (((values - means[y]) @ factors[y].T) ** 2).sum(axis=1) / 2 for y in (0, 1)]
+        return pd.Series((1 / (1 + np.exp(np.clip(dens[0] - dens[1], -500, 500)))).round(12))
+
+    return probability(F.struct(*FEATURES))
 
 
 def score_rows(docs: DataFrame, labels: DataFrame, keep: Sequence[str]) -> DataFrame:
