@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -31,6 +32,16 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WS), lambda w: w != "")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of its session held to a size that long texts cannot blow up."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 512), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
+        now = re.fullmatch(r"(\d+)b?", conf.get(key))
+        if not now or not 0 < int(now[1]) <= most:
+            conf.set(key, str(most))
+    return df
+
+
 def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -109,8 +120,8 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def pieces(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Runs of whole documents of about ``most`` bytes; a longer document is a run of its own."""
+def pieces(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
+    """Runs of whole documents of at most about ``most`` bytes; a longer document is a run of its own."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)

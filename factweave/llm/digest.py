@@ -12,7 +12,7 @@ like another such one (1) and unlike all others (0); a text under 64 bytes has o
 with zero bytes; windows under a tenth of the largest entropy are features only where a text has no others;
 rows are ordered by descending id, null last, rows with equal ids by text; the only row is followed by
 itself; equal texts have equal fingerprints; an empty table gives an empty result; extra columns are ignored, whatever
-their names. Work is done on runs of about a megabyte, so memory follows the longest text only.
+their names. Work is done on runs of about half a megabyte, so memory follows the longest text only.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, pieces, utf8
+from .common import mix, pieces, small_batches, utf8
 
 WINDOW, NEAR, OFTEN = 64, 64, 16
 LEVELS, LOWEST = 1000, 100
@@ -52,7 +52,7 @@ def levels(raw: np.ndarray) -> np.ndarray:
     return ((_FULL - total) * LEVELS // _FULL).clip(0, LEVELS).astype(np.int32)
 
 
-def _runs(raw: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def _runs(raw: np.ndarray, offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Runs of documents: bytes with short texts filled up to a window, starts, and windows of each."""
     for i, j in pieces(offsets, most):
         sizes = np.diff(offsets[i : j + 1])
@@ -174,7 +174,7 @@ def fingerprint_texts(texts: Sequence[str], ranks: np.ndarray) -> list[np.ndarra
     return [chain(h) for h in features(*utf8(pa.array(texts, pa.large_string())), ranks)]
 
 
-def with_next(docs: DataFrame, parts: int) -> DataFrame:
+def with_next(docs: DataFrame, parts: int, tasks: int) -> DataFrame:
     """The documents dealt into parts by ranges of the id; the first of the next part is copied to the end of each.
 
     The limits are ids that exist, taken from a summary of the ids: as many numbers as parts.
@@ -200,11 +200,11 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
 
     return (
         docs.withColumn("p", F.explode(places(ids))).select("doc_id", "text", "p.part", "p.copy")
-        .repartition(parts, "part").sortWithinPartitions("part", "copy", F.col("doc_id").desc_nulls_last(), "text")
+        .repartition(tasks, "part").sortWithinPartitions("part", "copy", F.col("doc_id").desc_nulls_last(), "text")
     )
 
 
-def _fingerprints(ranks: np.ndarray, most: int = 1 << 20):
+def _fingerprints(ranks: np.ndarray, most: int = 1 << 19):
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((k, pa.string()) for k in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def finish(rows: list[tuple]) -> pa.RecordBatch:
@@ -238,10 +238,11 @@ def _fingerprints(ranks: np.ndarray, most: int = 1 << 20):
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and its edited form, and their likenesses."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ranks = rarity(count_levels(docs))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return with_next(docs, parts).mapInArrow(
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Several parts a task: parts go to tasks by a hash, and differ in size.
+    return with_next(docs, 8 * tasks, tasks).mapInArrow(
         _fingerprints(ranks),
         "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
     )
