@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk, and of a document that is scanned in chunks.
@@ -271,10 +271,12 @@ def giant_ids(texts: DataFrame, path: str, chunk: int) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, cells)
 
     parts = written(texts.mapInArrow(cut, "key string, k int, context string, chunk string, last boolean").repartition("key", "k"), "chunks")
-    matrices = parts.mapInArrow(_transfers(path), f"key string, k int, matrix {_MATRIX}")
+    # Chunks are few bytes and much work: as many tasks as there are shuffle partitions, however small they are.
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    matrices = parts.repartition(tasks, "key", "k").mapInArrow(_transfers(path), f"key string, k int, matrix {_MATRIX}")
     # A matrix has a few dozen cells however long its chunk is.
     at = matrices.groupBy("key").applyInPandas(_solve, "key string, k int, a int, p string, b int, q string")
-    traced = parts.join(at, ["key", "k"]).mapInArrow(_backtraces(path), "key string, k int, part array<int>")
+    traced = parts.join(at, ["key", "k"]).repartition(tasks, "key", "k").mapInArrow(_backtraces(path), "key string, k int, part array<int>")
     ordered = traced.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", "part"))).alias("parts"))
     return ordered.select("key", F.flatten("parts.part").alias("ids"))
 
@@ -282,7 +284,7 @@ def giant_ids(texts: DataFrame, path: str, chunk: int) -> DataFrame:
 def encode(docs: DataFrame, text_col: str = "text", path: str = MODEL, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """``docs`` with ids, n_ids and decoded: whether decoding the ids gives the text again."""
     made = ("ids", "n_ids", "decoded")
-    docs = docs.select(*[c for c in docs.columns if c not in made])
+    docs = small_batches(docs).select(*[c for c in docs.columns if c not in made])
     if text_col != "text":
         docs = docs.withColumn("__text", F.col("text")).withColumn("text", F.col(text_col)) if "text" in docs.columns else docs.withColumn("text", F.col(text_col))
     big = F.length("text") > giant
