@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
 #: Argument schemas by tool name; a tool that isn't here takes any object.
 SCHEMAS: Mapping[str, Mapping[str, Any]] = {
@@ -118,7 +118,7 @@ def levels(calls: DataFrame) -> DataFrame:
 
 def format_chats(messages: DataFrame, schemas: Mapping[str, Mapping[str, Any]] = SCHEMAS) -> DataFrame:
     """conv_id, turn, role, anchor_turn, level, call_index, status, errors, json per message."""
-    rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    rows = small_batches(messages).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     maybe = F.coalesce(F.col("role").isin("assistant", "tool") & F.ltrim("text").startswith("{"), F.lit(False))
 
     def said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -12,6 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import scratch, written
+from ..operators.graph import components
+
+__all__ = ["components", "count_words", "groups", "let", "mix", "pieces", "scratch", "small_batches", "table", "utf8", "word_hashes", "words", "written"]
+
 #: Separators of words: ASCII blank, tab, line feed, vertical tab, form feed, carriage return.
 WS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,71 +49,6 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which the driver and all executors share.
-
-    Only a local master, whose tasks run in the driver's process, may fall back on a temporary folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _local_base()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-_LOCAL: list[tempfile.TemporaryDirectory] = []
-
-
-def _local_base() -> str:
-    if not _LOCAL:
-        _LOCAL.append(tempfile.TemporaryDirectory(prefix="factweave-"))
-    return f"file://{_LOCAL[0].name}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts the lineage and survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """Connected components of ``edges(a, b)``: one row ``(id, root)`` per vertex of an edge between
-    two different vertices, where root is the smallest id of its component.
-
-    Every round hooks each vertex to its smallest neighbour, follows the hooks to their ends by
-    pointer jumping, and contracts the edges, so the rounds follow the logarithm of the component's size.
-    """
-    left = written(
-        edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), name
-    )
-    found: DataFrame | None = None
-    while not left.isEmpty():
-        hook = written(
-            left.select(F.inline(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("p")), F.struct(F.col("b").alias("id"), F.col("a").alias("p")))))
-            .groupBy("id")
-            .agg(F.least("id", F.min("p")).alias("p")),
-            name,
-        )
-        while True:
-            end = hook.select(F.col("id").alias("p"), F.col("p").alias("q"))
-            hook = written(hook.join(end, "p").select("id", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")), name)
-            if hook.where("moved").isEmpty():
-                break
-            hook = hook.drop("moved")
-        hook = hook.select("id", "p")
-        to = hook.select(F.col("id").alias("root"), "p")
-        found = hook.withColumnRenamed("p", "root") if found is None else written(
-            found.join(to, "root", "left").select("id", F.coalesce("p", "root").alias("root")), name
-        )
-        a, b = hook.select(F.col("id").alias("a"), F.col("p").alias("x")), hook.select(F.col("id").alias("b"), F.col("p").alias("y"))
-        left = written(
-            left.join(a, "a").join(b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct(), name
-        )
-    return found if found is not None else left.select(F.col("a").alias("id"), F.col("b").alias("root"))
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a column of texts; nulls are empty."""
     column = column.cast(pa.large_string()).fill_null("")

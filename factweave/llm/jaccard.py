@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, groups, mix, pieces, utf8, word_hashes, written
+from .common import components, groups, mix, pieces, small_batches, utf8, word_hashes, written
 
 SHINGLE = 3
 #: Shingles of a tile; a smaller document counts as LEAST.
-TILE, LEAST = 1 << 22, 1024
+TILE, LEAST = 1 << 21, 512
 GROUPS = 256
 #: Groups beyond those that must be left equal, so that a few empty ones can go without a name.
 SPARE = 3
@@ -202,7 +202,7 @@ def _links(num: int, den: int):
 def join(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id per row of ``docs``."""
     num, den = percent, 100
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     every = written(docs.mapInArrow(_signatures(num, den), "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, names array<bigint>"), "signatures")
     some = every.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["n_shingles", "s1", "s2"]

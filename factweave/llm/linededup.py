@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import count_words, groups, let, written
+from .common import count_words, groups, let, small_batches, written
 
 MIN_LINE_WORDS, MIN_BLOCK_WORDS = 3, 10
 
@@ -124,7 +124,7 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     )
     same = W.partitionBy("key", "h").orderBy("rank")
     lines = written(
-        docs.where(F.col(text_col).isNotNull())
+        small_batches(docs).where(F.col(text_col).isNotNull())
         .select(row_key(id_col, text_col).alias("key"), F.posexplode(long_enough).alias("rank", "x"))
         .select("key", "rank", "x.line", "x.h", "x.w")
         .dropDuplicates(["key", "rank"])

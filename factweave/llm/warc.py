@@ -29,6 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Fixed values of the format: RFC 4648 base32, WARC/1.1 and its profile for identical payloads.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 VERSION = "WARC/1.1"
@@ -91,7 +93,7 @@ _INDEX = pa.schema([("record_id", pa.int64()), ("url", pa.string()), ("record_ty
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload: Column | None = None, min_revisit_bytes: int = 0, roll: int = 1 << 30) -> DataFrame:
     """Writes ``path/records`` and ``path/index``; returns the index. An archive is closed at ``roll`` bytes."""
-    rows = plan(pages, id_col, url_col, F.col("html") if payload is None else payload, min_revisit_bytes)
+    rows = plan(small_batches(pages), id_col, url_col, F.col("html") if payload is None else payload, min_revisit_bytes)
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = store_of(f"{path}/records")
@@ -139,7 +141,7 @@ def read(selected: DataFrame, path: str, gap: int = 65536, most: int = 8 << 20)
     Neighbours at most ``gap`` bytes apart are read at once, in reads of about ``most`` bytes. Index rows
     are dealt out by file and stretch, so that a large archive is read by many tasks. A revisit's payload is empty.
     """
-    wanted = selected.select("file", F.floor(F.col("offset") / most).alias("stretch"), "offset", "length")
+    wanted = small_batches(selected).select("file", F.floor(F.col("offset") / most).alias("stretch"), "offset", "length")
     placed = wanted.repartition("file", "stretch").sortWithinPartitions("file", "offset")
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, int, int]]]:
