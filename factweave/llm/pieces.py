@@ -281,12 +281,10 @@ def giant_ids(texts: DataFrame, path: str, chunk: int) -> DataFrame:
     return ordered.select("key", F.flatten("parts.part").alias("ids"))
 
 
-def encode(docs: DataFrame, text_col: str = "text", path: str = MODEL, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, path: str = MODEL, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """``docs`` with ids, n_ids and decoded: whether decoding the ids gives the text again."""
     made = ("ids", "n_ids", "decoded")
     docs = small_batches(docs).select(*[c for c in docs.columns if c not in made])
-    if text_col != "text":
-        docs = docs.withColumn("__text", F.col("text")).withColumn("text", F.col(text_col)) if "text" in docs.columns else docs.withColumn("text", F.col(text_col))
     big = F.length("text") > giant
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     schema = f"{fields}, ids array<int>, n_ids int, decoded boolean"
@@ -294,7 +292,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str = MODEL, giant: in
     large = docs.where(big).withColumn("__key", F.sha2("text", 256))
     found = giant_ids(large.select(F.col("__key").alias("key"), "text").dropDuplicates(["key"]), path, chunk)
     decode = decoder(path)
-    joined = large.join(found, F.col("__key") == F.col("key")).drop("__key", "key").withColumn("n_ids", F.size("ids")).withColumn("decoded", decode("ids") == F.col("text"))
+    joined = large.join(found.withColumnRenamed("key", "__found"), F.col("__key") == F.col("__found")).drop("__key", "__found").withColumn("n_ids", F.size("ids")).withColumn("decoded", decode("ids") == F.col("text"))
     return small.unionByName(joined.select(*small.columns))
 
 
