@@ -23,7 +23,9 @@ names. A text is held whole by one task, several times over while it is shingled
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +35,10 @@ from pyspark.sql import functions as F
 
 from .common import components, groups, mix, pieces, small_batches, utf8, word_hashes, written
 
-SHINGLE = 3
+SHINGLE = 5
 #: Shingles of a tile; a smaller document counts as LEAST.
 TILE, LEAST = 1 << 21, 512
 GROUPS = 256
-#: Groups beyond those that must be left equal, so that a few empty ones can go without a name.
-SPARE = 3
 ONE, TWO, THREE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 #: Lower ends of bands of set sizes, each half as large again as the one before.
@@ -72,8 +72,22 @@ def apart(most: int, num: int, den: int) -> int:
     return 2 * most * (den - num) // (den + num)
 
 
+@lru_cache(maxsize=None)
+def group_count(band: int, num: int, den: int) -> int:
+    """Groups for a band: enough that even its smallest sets fill more groups than those in which they may differ."""
+    d, low = apart(BANDS[band + 1] - 1, num, den), -(-num * BANDS[band] // den)
+    m = d + 1
+    while m * (1 - math.exp(-low / m)) < d + 1 + 2 * math.sqrt(m * math.exp(-low / m)) and m < 4 * low:
+        m += max(1, m // 50)
+    return m
+
+
 def names(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Hashes of the groups' contents, for each band in which a partner of at least this size can lie."""
+    """Hashes of the groups' contents, for each band in which a partner of at least this size can lie.
+
+    Partners differ in at most d groups, so a set that fills more than d groups shares a filled one with
+    each; a set that fills fewer names its empty groups, too.
+    """
     n = len(tokens)
     band = int(np.searchsorted(BANDS, n, "right")) - 1
     out = []
@@ -81,16 +95,14 @@ def names(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
     while den * n >= num * BANDS[band]:
         d = apart(BANDS[band + 1] - 1, num, den)
         if d:  # else only equal sets match
-            m = d + 1 + SPARE
+            m = group_count(band, num, den)
             group = (mix(tokens ^ THREE) % np.uint64(m)).astype(np.int64)
             content = np.zeros(m, np.uint64)
             np.add.at(content, group, mixed)
-            filled = np.bincount(group, minlength=m) > 0
-            if m - filled.sum() <= SPARE:
-                content, where = content[filled], np.flatnonzero(filled)
-            else:
+            where = np.flatnonzero(np.bincount(group, minlength=m))
+            if len(where) <= d:
                 where = np.arange(m)
-            out.append(mix(content ^ mix(np.uint64(band << 32) + where.astype(np.uint64) + ONE)))
+            out.append(mix(content[where] ^ mix(np.uint64(band << 32) + where.astype(np.uint64) + ONE)))
         band += 1
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -99,12 +111,12 @@ def _signed(x) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
-def _signatures(num: int, den: int):
+def _signatures(num: int, den: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = utf8(batch.column("text"))
             for i, j in pieces(offsets):
-                sets = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                sets = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
                 keys = [names(s, num, den) for s in sets]
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -177,7 +189,7 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num: int,
     return out
 
 
-def _links(num: int, den: int):
+def _links(num: int, den: int, size: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +197,7 @@ def _links(num: int, den: int):
         for _, rows in groups(batches, ["block", "i", "j"]):
             rows = rows.combine_chunks()
             raw, offsets = utf8(rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string()))
-            sets = [s for i, j in pieces(offsets) for s in shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
+            sets = [s for i, j in pieces(offsets) for s in shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)]
             some = [k for k, s in enumerate(sets) if len(s)]
             if len(some) > 1:
                 ids, side = rows.column("doc_id").to_numpy()[some], rows.column("tile").to_numpy()[some]
@@ -199,15 +211,15 @@ def _links(num: int, den: int):
     return run
 
 
-def join(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id per row of ``docs``."""
+def join(docs: DataFrame, percent: int = 80, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id per row of ``docs``: linked at ``percent`` of shingles of ``size`` words."""
     num, den = percent, 100
     docs = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    every = written(docs.mapInArrow(_signatures(num, den), "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, names array<bigint>"), "signatures")
+    every = written(docs.mapInArrow(_signatures(num, den, size), "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, names array<bigint>"), "signatures")
     some = every.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["n_shingles", "s1", "s2"]
     classes = some.groupBy(*same).agg(F.min(F.struct("doc_id", "names")).alias("x")).select(*same, F.col("x.doc_id").alias("rep"), "x.names")
-    named = classes.select("rep", "n_shingles", F.explode("names").alias("name"))
+    named = classes.select("rep", F.explode("names").alias("name"))
     stars = (
         named.withColumn("centre", F.min("rep").over(W.partitionBy("name"))).where("rep <> centre")
         .select(F.col("centre").alias("a"), F.col("rep").alias("b"))
@@ -225,7 +237,7 @@ def join(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: s
         (F.col("i") <= F.col("j")) & ((F.col("low_j") * num <= F.col("high") * den) | (F.col("i") == F.col("j")))
     ).select("block", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile"))
     dealt = placed.join(tasks, ["block", "tile"]).join(docs, "doc_id").select("block", "i", "j", "tile", "doc_id", "text")
-    links = dealt.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(_links(num, den), "a bigint, b bigint")
+    links = dealt.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(_links(num, den, size), "a bigint, b bigint")
     members = written(every.select("doc_id", *same).join(classes.select(*same, "rep"), same, "left"), "members")
     shared_ids = members.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
     versions = members.join(shared_ids, "doc_id").select("a", F.col("rep").alias("b"))

@@ -47,7 +47,7 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents"))
+    return jaccard.join(table(spark, sf_dir, "documents"), percent=90, size=3)
 
 
 def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,13 +14,13 @@ DOCS = "doc_id long, text string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def shingles(text):
+def shingles(text, size=3):
     ws = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    return {tuple(ws[i : i + 3]) for i in range(len(ws) - 2)} if len(ws) >= 3 else ({tuple(ws)} if ws else set())
+    return {tuple(ws[i : i + size]) for i in range(len(ws) - size + 1)} if len(ws) >= size else ({tuple(ws)} if ws else set())
 
 
-def brute(rows, percent=90):
-    sets = [shingles(t) for _, t in rows]
+def brute(rows, percent=90, size=3):
+    sets = [shingles(t, size) for _, t in rows]
     root = {i: i for i, _ in rows if i is not None}
 
     def find(x):
@@ -53,14 +53,15 @@ def near_copies(seed, n=160):
     return rows
 
 
-def run(spark, rows, **k):
-    return sorted(map(tuple, jaccard.join(spark.createDataFrame(rows, DOCS).withColumn("rep", F.lit("clash")), **k).collect()), key=str)
+def run(spark, rows, percent=90, size=3):
+    return sorted(map(tuple, jaccard.join(spark.createDataFrame(rows, DOCS).withColumn("rep", F.lit("clash")), percent, size).collect()), key=str)
 
 
 def test_join_finds_every_link(spark):
     for seed in (1, 2):
         rows = near_copies(seed)
         assert run(spark, rows) == brute(rows)
+        assert run(spark, rows, 80, 5) == brute(rows, 80, 5)
 
 
 def test_join_in_many_tiles(spark, monkeypatch):
@@ -85,13 +86,14 @@ def test_bounds_never_lose_a_pair():
         for x in sets:
             for y in sets:
                 shared = len(np.intersect1d(x, y))
-                if 100 * shared >= 90 * (len(x) + len(y) - shared) and jaccard.apart(n, 90, 100) and not np.array_equal(x, y):
-                    assert set(jaccard.names(x, 90, 100)) & set(jaccard.names(y, 90, 100))
+                for p in (80, 90):
+                    if 100 * shared >= p * (len(x) + len(y) - shared) and not np.array_equal(x, y):
+                        assert set(jaccard.names(x, p, 100)) & set(jaccard.names(y, p, 100))
 
 
 def test_shingles_count_like_python():
     texts = ["", "a", "a b", "a b c a b c", "É é x\x0by z", "ünï çødé tèxt wïth wörds"]
-    assert [len(s) for s in jaccard.shingle_sets(*utf8(pa.array(texts)))] == [len(shingles(t)) for t in texts]
+    assert [len(s) for s in jaccard.shingle_sets(*utf8(pa.array(texts)), 3)] == [len(shingles(t)) for t in texts]
 
 
 def plain_dedup(rows, min_line=3, min_block=10):
