@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.shared import scratch, written
 from ..operators.graph import components
 
-__all__ = ["components", "count_words", "groups", "let", "mix", "pieces", "scratch", "small_batches", "table", "utf8", "word_hashes", "words", "written"]
+__all__ = ["components", "count_words", "groups", "let", "mix", "pieces", "scratch", "small_batches", "table", "utf8", "word_hashes", "word_spans", "words", "written"]
 
 #: Separators of words: ASCII blank, tab, line feed, vertical tab, form feed, carriage return.
 WS = r"[\x20\x09-\x0D]+"
@@ -87,10 +87,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word, in order, A-Z in lower case; and where each document's words begin (with the end)."""
+def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word, in order, A-Z in lower case; where each document's words begin (with the
+    end); and the first byte and the end of each word."""
     if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), none, none
     low = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)
     solid = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
     edge = np.zeros(len(raw) + 1, bool)
@@ -101,7 +103,11 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     up, down = _powers(len(raw))
     total = np.r_[np.uint64(0), np.cumsum(_BYTE[low] * up[: len(raw)])]
     hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return hashes, np.searchsorted(starts, offsets)
+    return hashes, np.searchsorted(starts, offsets), starts, ends
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return word_spans(raw, offsets)[:2]
 
 
 def groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_CHARS, let, words, written
+from .common import WS_CHARS, pieces, small_batches, utf8, word_spans, written
 
 FEATURES = (
     "log_words", "mean_word", "sd_word", "symbols", "marks", "upper", "distinct", "adjacent", "lone", "line_words", "dup_lines", "digits",
@@ -41,41 +41,67 @@ class Model:
     log_dets: tuple[float, ...] = ()
 
 
-def _share(part: Column, whole: Column) -> Column:
-    """Square root of a share: spreads the small ones."""
-    return F.sqrt(part / F.greatest(whole, F.lit(1)))
-
-
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """The id, the columns of ``keep`` and the transformed statistics of each whole text."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-
-    def of(t: Column, s: Column) -> Column:
-        w, lines = s["w"], s["l"]
-        n, n_lines = F.size(w).cast("double"), F.size(lines).cast("double")
-        chars = F.length(t).cast("double")
-        kept = F.length(F.translate(t, WS_CHARS, "")).cast("double")
-        mean = kept / F.greatest(n, F.lit(1))
-        squares = F.aggregate(w, F.lit(0.0), lambda a, x: a + F.length(x) * F.length(x))
-        has = lambda chars_: (F.length(t) - F.length(F.translate(t, chars_, ""))).cast("double")
-        return F.struct(
-            F.log1p(n).alias("log_words"), F.log1p(mean).alias("mean_word"),
-            F.sqrt(F.greatest(squares / F.greatest(n, F.lit(1)) - mean * mean, F.lit(0.0))).alias("sd_word"),
-            _share(has("#*$%&|<>@^~=_{}[]\\"), chars).alias("symbols"), _share(has("!?;:"), chars).alias("marks"),
-            _share(F.size(F.filter(w, lambda x: (F.upper(x) == x) & (F.lower(x) != x))).cast("double"), n).alias("upper"),
-            _share(n - F.size(F.array_distinct(w)), n).alias("distinct"),
-            # one repetition happens to anyone, and says little in a short text
-            _share(F.greatest(F.size(F.filter(w, lambda x, i: (i > 0) & (F.get(w, i - 1) == x))) - 1, F.lit(0)).cast("double"), n).alias("adjacent"),
-            _share(F.size(F.filter(w, lambda x: F.length(F.translate(x, "#*$%&|<>@^~=_-.,", "")) == 0)).cast("double"), n).alias("lone"),
-            F.log1p(n / F.greatest(n_lines, F.lit(1))).alias("line_words"),
-            _share(n_lines - F.size(F.array_distinct(lines)), n_lines).alias("dup_lines"),
-            _share(has("0123456789"), chars).alias("digits"),
-        )
-
-    made = let(text, lambda t: let(
-        F.struct(words(t).alias("w"), F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, WS_CHARS, "")) > 0).alias("l")), lambda s: of(t, s)
-    ))
-    return docs.select(F.col(id_col).alias("doc_id"), *[c for c in keep if c != "doc_id"], F.inline(F.array(made)))
+def _table(chars: str) -> np.ndarray:
+    found = np.zeros(256, bool)
+    found[list(chars.encode())] = True
+    return found
+
+
+_SYMBOLS, _MARKS, _DIGITS, _LONE = (_table(c) for c in ("#*$%&|<>@^~=_{}[]\\", "!?;:", "0123456789", "#*$%&|<>@^~=_-.,"))
+_BLANK = WS_CHARS.encode()
+
+
+def measure(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The statistics of each document of a run, a column each in the order of ``FEATURES``.
+
+    Letters are told by their bytes: ASCII and the Latin-1 supplement have cases, other scripts don't.
+    """
+    n_docs = len(offsets) - 1
+    hashes, at, starts, ends = word_spans(raw, offsets)
+    run = lambda flags: np.r_[0, np.cumsum(flags, dtype=np.int64)]
+    by_doc = lambda total: total[offsets[1:]] - total[offsets[:-1]]
+    by_word = lambda total: total[ends] - total[starts]
+    of_words = lambda flags: (lambda t: t[at[1:]] - t[at[:-1]])(run(flags))
+    first = (raw & 0xC0) != 0x80
+    latin = np.r_[False, raw[:-1] == 0xC3] if len(raw) else first
+    lower = ((raw >= 97) & (raw <= 122)) | (latin & (raw >= 0x9F) & (raw <= 0xBF))
+    upper = ((raw >= 65) & (raw <= 90)) | (latin & (raw >= 0x80) & (raw <= 0x9E))
+    chars = run(first)
+    n, length, text_length = np.diff(at).astype(float), by_word(chars).astype(float), by_doc(chars).astype(float)
+    shout = (by_word(run(upper)) > 0) & (by_word(run(lower)) == 0)
+    again = np.zeros(len(hashes), bool)
+    again[1:] = hashes[1:] == hashes[:-1]
+    again[at[:-1][at[:-1] < len(hashes)]] = False
+    share = lambda part, whole: np.sqrt(np.maximum(part, 0) / np.maximum(whole, 1))
+    mean = of_words(length) / np.maximum(n, 1)
+    spread = np.sqrt(np.maximum(of_words(length * length) / np.maximum(n, 1) - mean * mean, 0))
+    different, lines, different_lines = np.zeros(n_docs), np.zeros(n_docs), np.zeros(n_docs)
+    data = raw.tobytes()
+    for k in range(n_docs):
+        different[k] = len(np.unique(hashes[at[k] : at[k + 1]]))
+        rows = [x for x in data[offsets[k] : offsets[k + 1]].split(b"\n") if x.strip(_BLANK)]
+        lines[k], different_lines[k] = len(rows), len(set(rows))
+    return np.column_stack([
+        np.log1p(n), np.log1p(mean), spread, share(by_doc(run(_SYMBOLS[raw])), text_length), share(by_doc(run(_MARKS[raw])), text_length), share(of_words(shout), n), share(n - different, n),
+        share(of_words(again) - 1.0, n),  # one repetition happens to anyone, and says little in a short text
+        share(of_words(by_word(run(_LONE[raw])) == ends - starts), n), np.log1p(n / np.maximum(lines, 1)), share(lines - different_lines, lines), share(by_doc(run(_DIGITS[raw])), text_length),
+    ])
+
+
+def statistics(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, the columns of ``keep`` and the transformed statistics of each whole text."""
+    names = list(dict.fromkeys(["doc_id", *keep]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = utf8(batch.column("text"))
+            parts = [measure(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in pieces(offsets)]
+            found = np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(x) for x in found.T)], names=[*names, *FEATURES])
+
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in names] + [f"{c} double" for c in FEATURES])
+    return small_batches(docs).select(*dict.fromkeys([*names, "text"])).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -139,9 +165,15 @@ def score(model: Model) -> Column:
     return probability(F.struct(*FEATURES))
 
 
-def score_rows(docs: DataFrame, labels: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """The columns of ``keep`` and the score of every row. Texts are read twice rather than stored with their statistics."""
-    model = fit(statistics(docs), labels)
+def score_rows(docs: DataFrame, labels: DataFrame, keep: Sequence[str], sample: int = 50_000) -> DataFrame:
+    """The columns of ``keep`` and the score of every row, without storing the texts with their statistics.
+
+    The model is fitted on at most ``sample`` labelled rows outside the held-out fold, chosen by a hash of
+    their id; this bound is also what makes the broadcast of their ids safe.
+    """
+    usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    chosen = usable.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
+    model = fit(statistics(docs.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")), chosen)
     return statistics(docs, keep=keep).select(*keep, score(model).alias("score"))
 
 
