@@ -3,8 +3,8 @@
 1. Every text becomes its set of hashed shingles. Equal sets form a class; the smallest id stands for it.
 2. Sets that can reach the threshold differ in at most d shingles, d following from their sizes. Hashed
    into more than d groups, they agree in at least one whole group. So every class names each of its groups
-   by a hash of the group's content, and only classes that share a name can be linked. Connected by such
-   names, classes fall into blocks: mostly families of near copies.
+   by a hash of the group's content, and only classes that share a name can be linked. Where their count
+   vectors allow a link, too, they are tied, and fall into blocks: mostly families of near copies.
 3. Inside a block, the counts of shingles in ``GROUPS`` hash groups are points in an R-tree. The overlap of
    two sets is at most the sum of the coordinates' minima, for a tree node of the minima with the largest
    counts below it. Pairs that survive the bound and aren't connected yet are verified on the sets themselves.
@@ -39,6 +39,8 @@ SHINGLE = 5
 #: Shingles of a tile; a smaller document counts as LEAST.
 TILE, LEAST = 1 << 21, 512
 GROUPS = 256
+#: Groups of the smaller count vectors that are compared where classes meet; classes of a name that a task compares at once.
+SKETCH, MEET = 128, 1024
 ONE, TWO, THREE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 #: Lower ends of bands of set sizes, each half as large again as the one before.
@@ -107,6 +109,10 @@ def names(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def _counts(tokens: np.ndarray, groups_: int) -> np.ndarray:
+    return np.bincount((tokens >> np.uint64(40)).astype(np.int64) % groups_, minlength=groups_)
+
+
 def _signed(x) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
@@ -124,8 +130,9 @@ def _signatures(num: int, den: int, size: int):
                         batch.column("doc_id")[i:j].cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                         *(pa.array(_signed([mix(s ^ salt).sum(dtype=np.uint64) for s in sets]), pa.int64()) for salt in (ONE, TWO)),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(np.concatenate(keys)))),
+                        pa.array([_counts(s, SKETCH).clip(0, 255).astype(np.uint8).tobytes() for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "s1", "s2", "names"],
+                    names=["doc_id", "n_shingles", "s1", "s2", "names", "sketch"],
                 )
 
     return run
@@ -167,7 +174,7 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num: int,
     """Links that connect what is linked. Only pairs across are looked at if ``side`` has two values."""
     counts = np.zeros((len(sets), GROUPS), np.int32)
     for k, s in enumerate(sets):
-        counts[k] = np.bincount((s >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
+        counts[k] = _counts(s, GROUPS)
     sizes = np.array([len(s) for s in sets])
     tree = CountTree(counts, sizes, num, den)
     across = side.min() != side.max()
@@ -189,6 +196,44 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num: int,
     return out
 
 
+def _meetings(num: int, den: int):
+    """Of classes that share a name, those whose count vectors allow a link: a forest that connects them.
+
+    A name's classes are compared in stretches of ``MEET`` by size; longer ones are tied together, which may
+    only make a block larger. A count of 255 stands for any larger one, so such counts bound nothing.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def batch_of(out: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        for _, rows in groups(batches, ["name"]):
+            ids, sizes = rows.column("rep").to_numpy(), rows.column("n_shingles").to_numpy()
+            if len(ids) > MEET:
+                out += [(int(ids[0]), int(x)) for x in ids[1:]]
+            elif len(ids) > 1:
+                counts = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1).astype(np.int64)
+                counts[counts == 255] = 1 << 30
+                label = np.arange(len(ids))
+                for q in range(len(ids) - 1):
+                    near = np.flatnonzero(label[q + 1 :] != label[q]) + q + 1
+                    bound = np.minimum(np.minimum(counts[near], counts[q]).sum(axis=1), np.minimum(sizes[near], sizes[q]))
+                    near = near[((num + den) * bound >= num * (sizes[near] + sizes[q])) & (den * np.minimum(sizes[near], sizes[q]) >= num * np.maximum(sizes[near], sizes[q]))]
+                    for k in near.tolist():
+                        if label[k] != label[q]:
+                            out.append((int(ids[q]), int(ids[k])))
+                            label[label == label[k]] = label[q]
+            if len(out) >= 10_000:
+                yield batch_of(out)
+                out = []
+        if out:
+            yield batch_of(out)
+
+    return run
+
+
 def _links(num: int, den: int, size: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -215,15 +260,16 @@ def join(docs: DataFrame, percent: int = 80, size: int = SHINGLE, id_col: str =
     """doc_id, n_shingles, component_id per row of ``docs``: linked at ``percent`` of shingles of ``size`` words."""
     num, den = percent, 100
     docs = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    every = written(docs.mapInArrow(_signatures(num, den, size), "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, names array<bigint>"), "signatures")
+    every = written(docs.mapInArrow(_signatures(num, den, size), "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, names array<bigint>, sketch binary"), "signatures")
     some = every.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["n_shingles", "s1", "s2"]
-    classes = some.groupBy(*same).agg(F.min(F.struct("doc_id", "names")).alias("x")).select(*same, F.col("x.doc_id").alias("rep"), "x.names")
+    classes = some.groupBy(*same).agg(F.min(F.struct("doc_id", "names", "sketch")).alias("x")).select(*same, F.col("x.doc_id").alias("rep"), "x.names", "x.sketch")
     named = classes.select("rep", F.explode("names").alias("name"))
-    stars = (
-        named.withColumn("centre", F.min("rep").over(W.partitionBy("name"))).where("rep <> centre")
-        .select(F.col("centre").alias("a"), F.col("rep").alias("b"))
-    )
+    # Names of one class only are dropped before anything is sent along with them.
+    met = named.withColumn("n", F.count("*").over(W.partitionBy("name"))).where("n > 1").select("rep", "name")
+    vectors = classes.select("rep", "n_shingles", "sketch")
+    meetings = met.join(vectors, "rep").repartition("name").sortWithinPartitions("name", "n_shingles", "rep")
+    stars = meetings.mapInArrow(_meetings(num, den), "a bigint, b bigint")
     blocks = components(stars, "blocks").select(F.col("id").alias("doc_id"), F.col("root").alias("block"))
     # Only class representatives are compared; several classes may have the same one if rows share an id.
     weight = F.greatest(F.max("n_shingles"), F.lit(LEAST)).alias("weight")
