@@ -131,11 +131,21 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         .withColumns({"occurrence": F.row_number().over(same), "n": F.count("*").over(W.partitionBy("key", "h"))}),
         "lines",
     )
-    owned = lines.groupBy("h").agg(F.min("key").alias("owner"), F.max("key").alias("last")).where("owner <> last").select("h", "owner")
-    common = written(lines.join(owned, "h"), "common-lines")
-    first = common.where("key = owner").select("h", "occurrence", F.col("rank").alias("a_rank"), F.col("n").alias("a_n"))
+    owners = written(
+        lines.groupBy("h").agg(F.min("key").alias("owner"), F.max("key").alias("last"), F.count("*").alias("rows")).where("owner <> last").select("h", "owner", "rows"), "owners",
+    )
+    # A line is hot if it holds more than a quarter of a task's share of all rows; so hot lines, and the salts
+    # that all of them get together, are at most a few per shuffle partition, whatever the input.
+    share = max(1, lines.count() // (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    hot = owners.where(F.col("rows") > share).select("h", "owner", F.ceil(F.col("rows") / share).cast("long").alias("salts"))
+    cool = owners.where(F.col("rows") <= share).select("h", "owner", F.lit(1).cast("long").alias("salts"))
+    rest = lines.join(F.broadcast(hot.select("h")), "h", "left_anti").join(cool, "h")
+    common = written(rest.unionByName(lines.join(F.broadcast(hot), "h")), "common-lines")
+    first = common.where("key = owner").select(
+        "h", "occurrence", F.col("rank").alias("a_rank"), F.col("n").alias("a_n"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"),
+    )
     text_key = lambda c: F.concat_ws(":", F.when(F.col(c)["none"], "-").otherwise(F.col(c)["id"].cast("string")), F.col(c)["h"].cast("string"))
-    both = common.where("key <> owner").join(first, ["h", "occurrence"]).select(
+    both = common.where("key <> owner").withColumn("salt", F.pmod(F.xxhash64("key"), "salts")).join(first, ["h", "occurrence", "salt"]).select(
         text_key("key").alias("b"), text_key("owner").alias("a"), "a_rank", F.col("rank").alias("b_rank"), F.col("line").alias("b_line"), ((F.col("n") == 1) & (F.col("a_n") == 1)).alias("unique"), "w",
     )
     return both.repartition("b").sortWithinPartitions("b", "a", "b_rank").mapInArrow(_deletions(min_block_words), "b string, line int")

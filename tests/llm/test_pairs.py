@@ -141,6 +141,14 @@ def test_line_dedup_like_plain_python(spark):
     assert linededup.dedup(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_line_dedup_salts_hot_lines(spark):
+    hot = "one line that nearly every document of them holds twice"
+    rows = [(i, "\n".join([f"own line {i} of it", hot, *([hot] if i % 3 else []), f"end {i % 5} of it all"])) for i in range(200)]
+    got = linededup.dedup(spark.createDataFrame(rows, DOCS))
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == plain_dedup(rows)
+    assert sum(hot not in t for _, t in plain_dedup(rows)) == 66  # document 0 holds it once, so second copies stay
+
+
 def test_patience_keeps_order():
     rows = [(0, 3, True), (1, 0, True), (2, 1, True), (3, 2, True), (9, 4, False), (4, 5, False)]
     aligned = linededup.patience(rows)
