@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.shared import scratch, written
 from ..operators.graph import components
 
-__all__ = ["components", "count_words", "groups", "let", "mix", "pieces", "scratch", "small_batches", "table", "utf8", "word_hashes", "word_spans", "words", "written"]
+__all__ = ["components", "count_words", "give_back", "groups", "let", "mix", "pieces", "scratch", "small_batches", "table", "tidy", "utf8", "word_hashes", "word_spans", "words", "written"]
 
 #: Separators of words: ASCII blank, tab, line feed, vertical tab, form feed, carriage return.
 WS = r"[\x20\x09-\x0D]+"
@@ -110,6 +112,35 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return word_spans(raw, offsets)[:2]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, which a worker that waits for its next task would keep else."""
+    pa.default_memory_pool().release_unused()
+    _POWERS.clear()
+    libc = ctypes.util.find_library("c")
+    trim = getattr(ctypes.CDLL(libc), "malloc_trim", None) if libc else None
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, giving its memory back at its end."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def _taken(held: list[pa.RecordBatch]) -> pa.Table:
+    """The batches as a table; the list lets go of them, so that the reader of the table decides how long they live."""
+    out = pa.Table.from_batches(held)
+    held.clear()
+    return out
+
+
 def groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
     """Runs of rows with equal keys, of batches that are sorted by them."""
     held: list[pa.RecordBatch] = []
@@ -126,9 +157,8 @@ def groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple
         for i, j in zip(cuts, cuts[1:], strict=False):
             key = tuple(c[i] for c in columns)
             if key != now and held:
-                yield now, pa.Table.from_batches(held)
-                held = []
+                yield now, _taken(held)
             now = key
             held.append(batch.slice(i, j - i))
     if held:
-        yield now, pa.Table.from_batches(held)
+        yield now, _taken(held)

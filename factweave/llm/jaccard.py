@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, groups, mix, pieces, small_batches, utf8, word_hashes, written
+from .common import components, groups, mix, pieces, small_batches, tidy, utf8, word_hashes, written
 
 SHINGLE = 5
 #: Shingles of a tile; a smaller document counts as LEAST.
@@ -199,8 +199,7 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num: int,
 def _meetings(num: int, den: int):
     """Of classes that share a name, those whose count vectors allow a link: a forest that connects them.
 
-    A name's classes are compared in stretches of ``MEET`` by size; longer ones are tied together, which may
-    only make a block larger. A count of 255 stands for any larger one, so such counts bound nothing.
+    Takes names of at most ``MEET`` classes. A count of 255 stands for any larger one, so such counts bound nothing.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -211,9 +210,7 @@ def _meetings(num: int, den: int):
         out: list[tuple[int, int]] = []
         for _, rows in groups(batches, ["name"]):
             ids, sizes = rows.column("rep").to_numpy(), rows.column("n_shingles").to_numpy()
-            if len(ids) > MEET:
-                out += [(int(ids[0]), int(x)) for x in ids[1:]]
-            elif len(ids) > 1:
+            if len(ids) > 1:
                 counts = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1).astype(np.int64)
                 counts[counts == 255] = 1 << 30
                 label = np.arange(len(ids))
@@ -240,13 +237,15 @@ def _links(num: int, den: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int]] = []
         for _, rows in groups(batches, ["block", "i", "j"]):
-            rows = rows.combine_chunks()
-            raw, offsets = utf8(rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string()))
-            sets = [s for i, j in pieces(offsets) for s in shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)]
+            ids, side = rows.column("doc_id").to_numpy(), rows.column("tile").to_numpy()
+            sets = []
+            for text in rows.column("text").chunks:  # as they came, without a copy of the group's texts
+                raw, offsets = utf8(text)
+                sets += [s for i, j in pieces(offsets) for s in shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)]
+            rows = text = raw = None  # the sets are all that the rest needs
             some = [k for k, s in enumerate(sets) if len(s)]
             if len(some) > 1:
-                ids, side = rows.column("doc_id").to_numpy()[some], rows.column("tile").to_numpy()[some]
-                held += forest(ids, [sets[k] for k in some], side, num, den)
+                held += forest(ids[some], [sets[k] for k in some], side[some], num, den)
             if len(held) >= 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*held, strict=True)], schema=schema)
                 held = []
@@ -260,16 +259,18 @@ def join(docs: DataFrame, percent: int = 80, size: int = SHINGLE, id_col: str =
     """doc_id, n_shingles, component_id per row of ``docs``: linked at ``percent`` of shingles of ``size`` words."""
     num, den = percent, 100
     docs = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    every = written(docs.mapInArrow(_signatures(num, den, size), "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, names array<bigint>, sketch binary"), "signatures")
+    every = written(docs.mapInArrow(tidy(_signatures(num, den, size)), "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, names array<bigint>, sketch binary"), "signatures")
     some = every.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["n_shingles", "s1", "s2"]
     classes = some.groupBy(*same).agg(F.min(F.struct("doc_id", "names", "sketch")).alias("x")).select(*same, F.col("x.doc_id").alias("rep"), "x.names", "x.sketch")
     named = classes.select("rep", F.explode("names").alias("name"))
     # Names of one class only are dropped before anything is sent along with them.
-    met = named.withColumn("n", F.count("*").over(W.partitionBy("name"))).where("n > 1").select("rep", "name")
+    met = named.withColumns({"n": F.count("*").over(W.partitionBy("name")), "first": F.min("rep").over(W.partitionBy("name"))}).where("n > 1")
     vectors = classes.select("rep", "n_shingles", "sketch")
-    meetings = met.join(vectors, "rep").repartition("name").sortWithinPartitions("name", "n_shingles", "rep")
-    stars = meetings.mapInArrow(_meetings(num, den), "a bigint, b bigint")
+    meetings = met.where(F.col("n") <= MEET).select("rep", "name").join(vectors, "rep").repartition("name").sortWithinPartitions("name", "n_shingles", "rep")
+    # Classes of a longer name are tied together without being compared, which may only make a block larger.
+    tied = met.where((F.col("n") > MEET) & (F.col("first") != F.col("rep"))).select(F.col("first").alias("a"), F.col("rep").alias("b"))
+    stars = meetings.mapInArrow(tidy(_meetings(num, den)), "a bigint, b bigint").unionByName(tied)
     blocks = components(stars, "blocks").select(F.col("id").alias("doc_id"), F.col("root").alias("block"))
     # Only class representatives are compared; several classes may have the same one if rows share an id.
     weight = F.greatest(F.max("n_shingles"), F.lit(LEAST)).alias("weight")
@@ -283,7 +284,7 @@ def join(docs: DataFrame, percent: int = 80, size: int = SHINGLE, id_col: str =
         (F.col("i") <= F.col("j")) & ((F.col("low_j") * num <= F.col("high") * den) | (F.col("i") == F.col("j")))
     ).select("block", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile"))
     dealt = placed.join(tasks, ["block", "tile"]).join(docs, "doc_id").select("block", "i", "j", "tile", "doc_id", "text")
-    links = dealt.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(_links(num, den, size), "a bigint, b bigint")
+    links = dealt.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(tidy(_links(num, den, size)), "a bigint, b bigint")
     members = written(every.select("doc_id", *same).join(classes.select(*same, "rep"), same, "left"), "members")
     shared_ids = members.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
     versions = members.join(shared_ids, "doc_id").select("a", F.col("rep").alias("b"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_CHARS, pieces, small_batches, utf8, word_spans, written
+from .common import WS_CHARS, pieces, small_batches, tidy, utf8, word_spans, written
 
 FEATURES = (
     "log_words", "mean_word", "sd_word", "symbols", "marks", "upper", "distinct", "adjacent", "lone", "line_words", "dup_lines", "digits",
@@ -101,7 +101,7 @@ def statistics(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in names] + [f"{c} double" for c in FEATURES])
-    return small_batches(docs).select(*dict.fromkeys([*names, "text"])).mapInArrow(run, schema)
+    return small_batches(docs).select(*dict.fromkeys([*names, "text"])).mapInArrow(tidy(run), schema)
 
 
 def held_out(doc_id: Column) -> Column:

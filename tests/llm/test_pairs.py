@@ -71,6 +71,12 @@ def test_join_in_many_tiles(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_join_ties_classes_of_common_names(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MEET", 3)
+    rows = near_copies(5)
+    assert run(spark, rows) == brute(rows)
+
+
 def test_join_edges(spark):
     rows = [(5, None), (6, ""), (7, " \n"), (8, "a"), (9, "A"), (10, "a b"), (11, "b a"), (3, "same text here now"), (4, "same text here now"), (4, "another text over there"), (2, "another text over there"), (None, "same text here now"), (12, "long " * 50_000), (13, "long " * 50_001), (3, "same text here now")]
     assert run(spark, rows) == brute(rows)
