@@ -88,19 +88,21 @@ def measure(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     ])
 
 
-def statistics(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """doc_id, the columns of ``keep`` and the transformed statistics of each whole text."""
+def statistics(docs: DataFrame, keep: Sequence[str] = (), model: Model | None = None) -> DataFrame:
+    """doc_id, the columns of ``keep`` and the transformed statistics of each whole text, or their ``score`` by ``model``."""
     names = list(dict.fromkeys(["doc_id", *keep]))
+    made = ["score"] if model else list(FEATURES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = utf8(batch.column("text"))
             parts = [measure(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in pieces(offsets)]
             found = np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(x) for x in found.T)], names=[*names, *FEATURES])
+            out = [probabilities(model, found)] if model else found.T
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *map(pa.array, out)], names=[*names, *made])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in names] + [f"{c} double" for c in FEATURES])
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in names] + [f"{c} double" for c in made])
     return small_batches(docs).select(*dict.fromkeys([*names, "text"])).mapInArrow(tidy(run), schema)
 
 
@@ -149,18 +151,22 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", shrink: flo
     return Model(prior, tuple(tuple(m.round(8).tolist()) for m in means), tuple(tuple(map(tuple, f.round(8).tolist())) for f in factors), tuple(round(x, 8) for x in dets))
 
 
+def probabilities(model: Model, values: np.ndarray) -> np.ndarray:
+    """Probability of label 1 of each row of statistics."""
+    if not model.means:
+        return np.full(len(values), model.prior[1])
+    dens = [
+        np.log(model.prior[y]) - model.log_dets[y] / 2 - (((values - np.array(model.means[y])) @ np.array(model.factors[y]).T) ** 2).sum(axis=1) / 2 for y in (0, 1)
+    ]
+    return (1 / (1 + np.exp(np.clip(dens[0] - dens[1], -500, 500)))).round(12)
+
+
 def score(model: Model) -> Column:
     """Probability of label 1, from the columns of ``statistics``."""
-    if not model.means:
-        return F.lit(model.prior[1])
-    means, factors = np.array(model.means), np.array(model.factors)
-    base = [np.log(model.prior[y]) - model.log_dets[y] / 2 for y in (0, 1)]
 
     @F.pandas_udf("double")
     def probability(x: pd.DataFrame) -> pd.Series:
-        values = x.to_numpy(float)
-        dens = [base[y] - (((values - means[y]) @ factors[y].T) ** 2).sum(axis=1) / 2 for y in (0, 1)]
-        return pd.Series((1 / (1 + np.exp(np.clip(dens[0] - dens[1], -500, 500)))).round(12))
+        return pd.Series(probabilities(model, x.to_numpy(float)))
 
     return probability(F.struct(*FEATURES))
 
@@ -174,7 +180,8 @@ def score_rows(docs: DataFrame, labels: DataFrame, keep: Sequence[str], sample:
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     model = fit(statistics(docs.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")), chosen)
-    return statistics(docs, keep=keep).select(*keep, score(model).alias("score"))
+    # Scored where they are measured: a task with two workers of Python would hold twice the memory.
+    return statistics(docs, keep=keep, model=model).select(*keep, "score")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
