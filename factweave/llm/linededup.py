@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import count_words, groups, let, small_batches, written
+from .common import count_words, groups, let, small_batches, tidy, written
 
 MIN_LINE_WORDS, MIN_BLOCK_WORDS = 3, 10
 
@@ -148,7 +148,7 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     both = common.where("key <> owner").withColumn("salt", F.pmod(F.xxhash64("key"), "salts")).join(first, ["h", "occurrence", "salt"]).select(
         text_key("key").alias("b"), text_key("owner").alias("a"), "a_rank", F.col("rank").alias("b_rank"), F.col("line").alias("b_line"), ((F.col("n") == 1) & (F.col("a_n") == 1)).alias("unique"), "w",
     )
-    return both.repartition("b").sortWithinPartitions("b", "a", "b_rank").mapInArrow(_deletions(min_block_words), "b string, line int")
+    return both.repartition("b").sortWithinPartitions("b", "a", "b_rank").mapInArrow(tidy(_deletions(min_block_words)), "b string, line int")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:

@@ -29,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import small_batches, tidy, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk, and of a document that is scanned in chunks.
 CHUNK, GIANT = 16384, 65536
+#: Pairs of pieces whose fit is remembered, at some 200 bytes each.
+KNOWN = 250_000
 BLANK = "▁"
 
 State = tuple[int, str]  # where the piece ends, relative to the cut; the piece
@@ -65,7 +67,7 @@ class Pieces:
 
     def fits(self, a: str, b: str) -> bool:
         if (a, b) not in self.known:
-            if len(self.known) > 2_000_000:
+            if len(self.known) > KNOWN:
                 self.known.clear()
             self.known[a, b] = self.merge(a + b) == [x for x in (a, b) if x]
         return self.known[a, b]
@@ -270,13 +272,13 @@ def giant_ids(texts: DataFrame, path: str, chunk: int) -> DataFrame:
                 rows = [{"key": key, "k": k, "context": c, "chunk": t, "last": last} for k, c, t, last in split(escaped(text), chunk, longest)]
                 yield pa.RecordBatch.from_pylist(rows, cells)
 
-    parts = written(texts.mapInArrow(cut, "key string, k int, context string, chunk string, last boolean").repartition("key", "k"), "chunks")
+    parts = written(texts.mapInArrow(tidy(cut), "key string, k int, context string, chunk string, last boolean").repartition("key", "k"), "chunks")
     # Chunks are few bytes and much work: as many tasks as there are shuffle partitions, however small they are.
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    matrices = parts.repartition(tasks, "key", "k").mapInArrow(_transfers(path), f"key string, k int, matrix {_MATRIX}")
+    matrices = parts.repartition(tasks, "key", "k").mapInArrow(tidy(_transfers(path)), f"key string, k int, matrix {_MATRIX}")
     # A matrix has a few dozen cells however long its chunk is.
     at = matrices.groupBy("key").applyInPandas(_solve, "key string, k int, a int, p string, b int, q string")
-    traced = parts.join(at, ["key", "k"]).repartition(tasks, "key", "k").mapInArrow(_backtraces(path), "key string, k int, part array<int>")
+    traced = parts.join(at, ["key", "k"]).repartition(tasks, "key", "k").mapInArrow(tidy(_backtraces(path)), "key string, k int, part array<int>")
     ordered = traced.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", "part"))).alias("parts"))
     return ordered.select("key", F.flatten("parts.part").alias("ids"))
 
@@ -288,7 +290,7 @@ def encode(docs: DataFrame, path: str = MODEL, giant: int = GIANT, chunk: int =
     big = F.length("text") > giant
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     schema = f"{fields}, ids array<int>, n_ids int, decoded boolean"
-    small = docs.where(~F.coalesce(big, F.lit(False))).mapInArrow(_whole(path), schema)
+    small = docs.where(~F.coalesce(big, F.lit(False))).mapInArrow(tidy(_whole(path)), schema)
     large = docs.where(big).withColumn("__key", F.sha2("text", 256))
     found = giant_ids(large.select(F.col("__key").alias("key"), "text").dropDuplicates(["key"]), path, chunk)
     decode = decoder(path)
