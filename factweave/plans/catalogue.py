@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import seconds_between, shifted, tokens
 from ..functions.template import compile_template
-from ..operators import checks, graph, intervals, mapping, series, state
+from ..operators import checks, graph, intervals, mapping, records, series, state
 from ..sources import files, tables
 from ..sources.tables import table
 
@@ -623,3 +623,85 @@ def conversation_rollup(spark: SparkSession, d: str) -> DataFrame:
 @plan("SELECT source, count(*) AS n, count(DISTINCT md5(text)) AS different, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY source")
 def document_rollup(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_distinct(F.md5("text")).alias("different"), F.sum("n_chars").alias("chars"))
+
+
+@plan("""WITH n AS (SELECT source, lang AS code, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) WHERE quality = 0 GROUP BY ALL)
+SELECT source, string_agg(code || ':' || n, ', ' ORDER BY code) AS codes FROM n WHERE source IN (SELECT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1) GROUP BY source""")
+def source_incomplete(spark: SparkSession, d: str) -> DataFrame:
+    both = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    findings = both.select("source", F.col("lang").alias("code"), F.when(F.col("quality") == 0, "corrupt").alias("category"))
+    return records.incomplete_sources(findings, both.where("toxic = 1"))
+
+
+@plan("SELECT conv_id, max(turn) AS stated, count(*) AS found FROM conversations GROUP BY conv_id HAVING max(turn) <> count(*)")
+def snapshot_incomplete(spark: SparkSession, d: str) -> DataFrame:
+    turns = table(spark, d, "conversations")
+    return checks.count_mismatch(turns.groupBy("conv_id").agg(F.max("turn").alias("stated")), turns, "conv_id", "stated")
+
+
+@plan("""WITH x AS (SELECT user_id, event_type, props, CASE WHEN value > 50 THEN event_id % 3 END AS kind FROM events),
+c AS (SELECT user_id, event_type, 'props' AS field, CAST(props AS VARCHAR) AS v FROM x UNION ALL SELECT user_id, event_type, 'kind', CAST(kind AS VARCHAR) FROM x)
+SELECT user_id, event_type, field, count(DISTINCT v) AS n_values FROM c GROUP BY ALL HAVING count(DISTINCT v) > 1""")
+def schema_conflict(spark: SparkSession, d: str) -> DataFrame:
+    streams = table(spark, d, "events").withColumn("kind", F.when(F.col("value") > 50, F.col("event_id") % 3))
+    return records.schema_conflicts(streams, ["user_id", "event_type"], ["props", "kind"])
+
+
+@plan("""WITH t AS (SELECT source, max(len(string_split(text, ' '))) AS width FROM documents GROUP BY source),
+r AS (SELECT source, lang, doc_id, len(string_split(text, ' ')) AS cells FROM documents)
+SELECT source AS "table", count(*) AS n, CAST(min(n_lang) AS INT) AS first_row, arg_min(doc_id, n_lang * 10000000000 + doc_id) AS first_id
+FROM (SELECT r.*, length(lang) AS n_lang, width FROM r JOIN t USING (source)) WHERE cells <> width GROUP BY source""")
+def row_shape_mismatch(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select(F.col("source").alias("table"), F.length("lang").alias("row"), F.col("doc_id").alias("id"), F.size(F.split("text", " ")).alias("cells"))
+    return records.row_shapes(rows.groupBy("table").agg(F.max("cells").alias("width")), rows)
+
+
+@plan("SELECT n_regionkey, n_name[1] AS zone, count(*) AS n FROM nation GROUP BY ALL HAVING count(*) > 1")
+def civil_zone_repeated(spark: SparkSession, d: str) -> DataFrame:
+    return checks.duplicates(table(spark, d, "nation").select("n_regionkey", F.substring("n_name", 1, 1).alias("zone")), ["n_regionkey", "zone"])
+
+
+@plan("""WITH u AS (SELECT l_suppkey AS graph, l_partkey AS frame, l_orderkey AS id, l_linenumber = 1 AS declares FROM lineitem),
+f AS (SELECT graph, frame, max(declares) AS declared, count(DISTINCT id) AS n, min(id) AS first_id FROM u GROUP BY ALL),
+j AS (SELECT f.*, CASE WHEN s_suppkey IS NULL THEN 'graph_missing' WHEN NOT declared THEN 'frame_undeclared' END AS reason FROM f LEFT JOIN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) ON graph = s_suppkey)
+SELECT graph, frame, reason, n, first_id FROM j WHERE reason IS NOT NULL""")
+def frame_unresolved(spark: SparkSession, d: str) -> DataFrame:
+    uses = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("graph"), F.col("l_partkey").alias("frame"), F.col("l_orderkey").alias("id"), (F.col("l_linenumber") == 1).alias("declares"))
+    return records.unresolved_frames(uses, table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("graph")))
+
+
+@plan("""WITH d AS (SELECT DISTINCT o_custkey AS owner, o_orderpriority AS revision FROM orders WHERE o_orderstatus = 'F'), s AS (SELECT o_orderkey, o_custkey AS owner, o_orderpriority AS revision FROM orders WHERE o_orderstatus <> 'F')
+SELECT o_orderkey, owner, revision FROM s WHERE owner IN (SELECT owner FROM d) AND NOT EXISTS (SELECT 1 FROM d WHERE d.owner = s.owner AND d.revision = s.revision)""")
+def calibration_revision_mismatch(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders").withColumnsRenamed({"o_custkey": "owner", "o_orderpriority": "revision"})
+    return records.revision_mismatches(orders.where("o_orderstatus <> 'F'"), orders.where("o_orderstatus = 'F'"), "owner", "revision").select("o_orderkey", "owner", "revision")
+
+
+@plan("""WITH c AS (SELECT p_brand AS name, 'release>commit' AS pair, CAST(p_size AS VARCHAR) AS key, p_type AS v FROM part UNION ALL SELECT p_brand, 'commit>build', p_type, CAST(p_size AS VARCHAR) FROM part)
+SELECT name, pair, key, count(DISTINCT v) AS n_values FROM c GROUP BY ALL HAVING count(DISTINCT v) > 1""")
+def software_conflict(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").select(F.col("p_brand").alias("name"), F.col("p_size").alias("release"), F.col("p_type").alias("commit"), F.col("p_size").alias("build"))
+    return records.software_conflicts(rows, pairs=(("release", "commit"), ("commit", "build")))
+
+
+@plan("""WITH g AS (SELECT l_orderkey, l_shipdate, l_returnflag AS v, max(l_quantity) AS score FROM lineitem GROUP BY l_orderkey, l_shipdate, v), b AS (SELECT l_orderkey, v, max(score) AS score FROM g GROUP BY ALL),
+r AS (SELECT *, rank() OVER (PARTITION BY l_orderkey ORDER BY score DESC) AS k FROM b)
+SELECT l_orderkey, CASE WHEN count(*) = 1 THEN min(v) END AS l_returnflag, max(score) AS l_quantity, CASE WHEN count(*) = 1 THEN 'known' ELSE 'ambiguous' END AS state FROM r WHERE k = 1 GROUP BY l_orderkey""")
+def stream_semantics(spark: SparkSession, d: str) -> DataFrame:
+    return records.best_guess(table(spark, d, "lineitem"), "l_orderkey", "l_returnflag", "l_quantity")
+
+
+@plan("""WITH f AS (SELECT page_id, string_split(regexp_replace(url, '^https?://', ''), '/') AS p FROM pages), r AS (SELECT page_id AS run, p FROM f WHERE page_id % 2 = 0), i AS (SELECT page_id AS item, p FROM f WHERE page_id % 2 = 1),
+m AS (SELECT run, item, len(list_filter(range(1, least(len(r.p), len(i.p))), lambda k: r.p[1:k] = i.p[1:k])) AS depth FROM r, i), k AS (SELECT *, rank() OVER (PARTITION BY run ORDER BY depth DESC) AS n FROM m)
+SELECT run, 'page' AS slot, CASE WHEN count(*) = 1 THEN min(item) END AS item, max(depth) AS depth, CASE WHEN count(*) = 1 THEN 'bound' ELSE 'conflict' END AS state FROM k WHERE n = 1 GROUP BY run""")
+def snapshot_bindings(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages").select("page_id", F.regexp_replace("url", "^https?://", "").alias("path"), F.lit("all").alias("unit"))
+    runs, items = pages.where("page_id % 2 = 0").withColumnRenamed("page_id", "run"), pages.where("page_id % 2 = 1").withColumnRenamed("page_id", "item")
+    return records.nearest_bindings(runs, items.withColumn("slot", F.lit("page")))
+
+
+@plan("""SELECT l_orderkey, floor(round(greatest((1 - 0.9 * coalesce(product(1 - l_discount) FILTER (l_returnflag <> 'R'), 1)) * coalesce(product(1 - l_discount) FILTER (l_returnflag = 'R'), 1), 0.01), 12) * 10000 + 0.5) / 10000 AS score
+FROM lineitem GROUP BY l_orderkey""")
+def evidence_score(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_discount", (F.col("l_returnflag") == "R").alias("against"))
+    return records.noisy_or(rows, "l_orderkey", "l_discount", "against", base=0.1)

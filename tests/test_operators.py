@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions.shared import fact_id, slug
 from factweave.functions.template import compile_template
-from factweave.operators import checks, clocks, graph, intervals, mapping, series, state
+from factweave.operators import checks, clocks, graph, intervals, mapping, records, series, state
 from factweave.plans import insights, research
 
 FACTS = "seq long, subject string, predicate string, object_is_ref boolean, object_text string, unit string, valid_from string, valid_to string, kind string, source string"
@@ -209,3 +209,27 @@ def test_rates_count_observed_time(spark):
     assert (got["with_n"], got["without_n"], got["hours"], got["without_hours"], got["verdict"]) == (4, 1, 2.0, 8.0, "supported")
     df = spark.createDataFrame([("5",), ("x",), (None,)], "v string")
     assert [df.where(research.meets(F.col("v"), op, t)).count() for op, t in ((">", "4"), ("<=", "x"), ("in", "x, 5"), ("!=", "x"))] == [1, 0, 2, 1]
+
+
+def test_records(spark):
+    uses = spark.createDataFrame([("g", "base", 1, True), ("g", "tool", 2, False), ("h", "cam", 3, True)], "graph string, frame string, id long, declares boolean")
+    bad = records.unresolved_frames(uses, spark.createDataFrame([("g",)], "graph string")).collect()
+    assert {(r["frame"], r["reason"]) for r in bad} == {("tool", "frame_undeclared"), ("cam", "graph_missing")}
+    stated = spark.createDataFrame([("m", "r1"), ("m", "r9"), ("n", "r9"), ("m", None)], "machine string, revision string")
+    declared = spark.createDataFrame([("m", "r1"), ("n", None)], "machine string, revision string")
+    assert [tuple(r) for r in records.revision_mismatches(stated, declared, "machine", "revision").collect()] == [("m", "r9")]
+    soft = spark.createDataFrame([("nav", "1.0", "a", None, "x"), ("nav", "1.0", "b", "7", "y"), ("nav", None, "b", "7", "y")], 'name string, release string, commit string, build string, digest string')
+    assert [(r["pair"], r["key"], r["n_values"]) for r in records.software_conflicts(soft).collect()] == [("release>commit", "1.0", 2)]
+
+
+def test_nearest_bindings(spark):
+    runs = spark.createDataFrame([(1, "u", "a/b/run.mcap"), (2, "u", "c/run.mcap"), (3, "v", "run.mcap")], "run long, unit string, path string")
+    items = spark.createDataFrame([(10, "u", "hw", "a/b/hw.yaml"), (11, "u", "hw", "a/hw.yaml"), (12, "u", "sw", "a/b/sw.yaml"), (13, "u", "sw", "a/b/x/../sw.yaml")], "item long, unit string, slot string, path string")
+    got = {(r["run"], r["slot"]): (r["item"], r["depth"], r["state"]) for r in records.nearest_bindings(runs, items).collect()}
+    assert got == {(1, "hw"): (10, 2, "bound"), (1, "sw"): (None, 2, "conflict"), (2, "hw"): (None, 0, "conflict"), (2, "sw"): (None, 0, "conflict")}
+    assert records.nearest_bindings(runs, items.limit(0)).count() == 0
+
+
+def test_noisy_or(spark):
+    rows = spark.createDataFrame([("a", 0.5, False), ("a", 0.5, False), ("a", 0.2, True), ("b", 1.0, False), ("c", 1.0, True), ("d", 1.0, False), ("d", 1.0, True)], "k string, w double, against boolean")
+    assert dict(map(tuple, records.noisy_or(rows, "k", "w", "against").collect())) == {"a": 0.6, "b": 1.0, "c": 0.01, "d": 0.01}
