@@ -25,7 +25,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes common blocks of lines from later documents, and documents of which nothing but blanks is left."""
-    clean = linededup.dedup(docs)
+    clean = linededup.dedup(docs, find=linededup.copies)
     emptied = (F.col("n_deleted") > 0) & (F.regexp_replace("text", WS, "") == "")
     text_length = F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return clean.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", text_length).select(*COLUMNS)

@@ -1,4 +1,14 @@
-"""Line dedup by pairwise alignment.
+"""Line dedup by alignment with earlier documents.
+
+``copies`` is what the queries use. A block is a run of neighbouring lines with at least ``min_block_words``
+words; every line of a document that lies in a block which any earlier document holds too, anywhere and
+however often, is deleted. The smallest blocks suffice for that: those that hold enough words no more
+without their first or without their last line. Each line of a longer block lies in a smallest one of it. They have at most
+``min_block_words / min_line_words`` lines, so their number is linear in the lines, and one join with the
+earliest holder of each smallest block compares a document with all earlier ones. The earliest holder of
+a line keeps it.
+
+``deletions`` is narrower: it aligns a document in order, and with the earliest holders of its single lines only.
 
 1. Lines of at least ``min_line_words`` words, short ones being common by nature, are hashed; a hash in
    two documents or more has an owner, the earliest document that has it. A document is paired with the
@@ -22,7 +32,7 @@ shared lines are held by a task; extra columns are carried through, whatever the
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -151,10 +161,43 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     return both.repartition("b").sortWithinPartitions("b", "a", "b_rank").mapInArrow(tidy(_deletions(min_block_words)), "b string, line int")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:
-    """``docs`` with the texts cleaned, and n_lines and n_deleted (of the text as it was)."""
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_line_words: int = MIN_LINE_WORDS, min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
+    """key and line of every line in a block that an earlier document holds too."""
+    least = max(1, min_line_words)
+    most = max(1, -(-min_block_words // least))
+    long_enough = F.filter(
+        F.transform(F.split(text_col, "\n"), lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("h"), count_words(x).cast("int").alias("w"))),
+        lambda x: x["w"] >= least,
+    )
+
+    def block(rows: Column, i: Column, k: Column) -> Column:
+        total = F.aggregate(F.slice(rows, i, k), F.lit(0).cast("long"), lambda n, x: n + x["w"])
+        spare = total - F.greatest(F.get(rows, i - 1)["w"], F.get(rows, i + k - 2)["w"])
+        return F.struct(i.alias("i"), k.alias("k"), ((total >= min_block_words) & (spare < min_block_words)).alias("smallest"))
+
+    def smallest(rows: Column) -> Column:
+        lengths = lambda i: F.sequence(F.lit(1), F.least(F.lit(most), F.size(rows) - i + 1))
+        spans = F.flatten(F.transform(F.sequence(F.lit(1), F.size(rows)), lambda i: F.filter(F.transform(lengths(i), lambda k: block(rows, i, k)), lambda b: b["smallest"])))
+        return F.transform(spans, lambda b: let(F.slice(rows, b["i"], b["k"]), lambda x: F.struct(F.xxhash64(x["h"]).alias("name"), x["line"].alias("lines"))))
+
+    found = written(
+        docs.where(F.col(text_col).isNotNull()).select(row_key(id_col, text_col).alias("key"), long_enough.alias("rows")).where(F.size("rows") > 0)
+        .select("key", F.inline(let(F.col("rows"), smallest))),
+        "blocks",
+    )
+    owners = written(found.groupBy("name").agg(F.min("key").alias("owner"), F.max("key").alias("last"), F.count("*").alias("n")).where("owner <> last").select("name", "owner", "n"), "owners")
+    # A block is hot if it holds more than a quarter of a task's share of all rows: at most a few per shuffle partition.
+    share = max(1, found.count() // (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    hot, cool = (owners.where(c).select("name", "owner") for c in (F.col("n") > share, F.col("n") <= share))
+    met = found.join(F.broadcast(hot.select("name")), "name", "left_anti").join(cool, "name").unionByName(found.join(F.broadcast(hot), "name"))
+    text_key = F.concat_ws(":", F.when(F.col("key")["none"], "-").otherwise(F.col("key")["id"].cast("string")), F.col("key")["h"].cast("string"))
+    return met.where("key <> owner").select(text_key.alias("b"), F.explode("lines").alias("line"))
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = deletions, **sizes: int) -> DataFrame:
+    """``docs`` with the lines cut that ``find`` names, and n_lines and n_deleted (of the text as it was)."""
     key = F.concat_ws(":", F.when(F.col(id_col).isNull(), "-").otherwise(F.col(id_col).cast("long").cast("string")), F.xxhash64(text_col).cast("string"))
-    gone = deletions(docs, id_col, text_col, **sizes).groupBy(F.col("b").alias("__b")).agg(F.sort_array(F.collect_list("line")).alias("__gone"))
+    gone = find(docs, id_col, text_col, **sizes).groupBy(F.col("b").alias("__b")).agg(F.sort_array(F.collect_set("line")).alias("__gone"))
     split, last = F.split(text_col, "\n"), F.col("__gone")
     # The deleted lines are sorted: only the runs of kept lines between them are cut out.
     begin = lambda i: F.coalesce(F.get(last, i - 1) + 1, F.lit(0))

@@ -29,7 +29,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_deleted", "text")
+    return linededup.dedup(table(spark, sf_dir, "documents"), find=linededup.copies).select("doc_id", "n_lines", "n_deleted", "text")
 
 
 #: The layout before: a source's documents lie together in one of so many shards.

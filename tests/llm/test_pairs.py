@@ -155,6 +155,52 @@ def test_line_dedup_salts_hot_lines(spark):
     assert sum(hot not in t for _, t in plain_dedup(rows)) == 66  # document 0 holds it once, so second copies stay
 
 
+def every_copy(rows, min_line=3, min_block=10):
+    """Every common run with every earlier document, by brute force."""
+    count = lambda s: len(WORD.findall(s))
+    lines = [[(k, x) for k, x in enumerate(t.split("\n")) if count(x) >= min_line] if t is not None else [] for _, t in rows]
+    place = lambda i: (i is None, i or 0)
+    out = []
+    for (i, t), mine in zip(rows, lines, strict=True):
+        gone = set()
+        for (j, _), theirs in zip(rows, lines, strict=True):
+            if place(j) >= place(i):
+                continue
+            for a in range(len(mine)):
+                for b in range(len(theirs)):
+                    n = 0
+                    while a + n < len(mine) and b + n < len(theirs) and mine[a + n][1] == theirs[b + n][1]:
+                        n += 1
+                    if sum(count(x) for _, x in mine[a : a + n]) >= min_block:
+                        gone |= {k for k, _ in mine[a : a + n]}
+        out.append((i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)))
+    return sorted(out, key=str)
+
+
+def test_copies_meet_every_earlier_document(spark):
+    rng = random.Random(11)
+    pool = [" ".join(f"v{rng.randint(0, 30)}" for _ in range(rng.randint(1, 9))) for _ in range(25)]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 14)))) for i in range(60)]
+    block = [f"short line {k}" for k in range(6)]
+    rows += [(100 + k, x) for k, x in enumerate(block)]  # each line has another owner
+    rows += [(110, "\n".join(block)), (111, "\n".join([*block, "not of it", *block])), (200, None), (201, ""), (None, "\n".join(block))]
+    hot = "one line that nearly every document of them holds twice"
+    rows += [(300 + i, f"own line {i} of it\n{hot}\n{hot}" if i else hot) for i in range(40)]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup(spark.createDataFrame(rows, DOCS), find=linededup.copies).collect()}
+    assert sorted(got.items(), key=str) == every_copy(rows)
+    assert got[110] == "\n".join(block) and got[111] == "not of it" and got[None] == "" and got[339] == "own line 39 of it"
+    assert linededup.dedup(spark.createDataFrame([], DOCS), find=linededup.copies).count() == 0
+
+
+def test_op5_query_takes_every_copy(spark, tmp_path):
+    from factweave.llm.queries import QUERIES
+
+    rows = [(k, f"short line {k}") for k in range(6)] + [(k, "\n".join(f"short line {n}" for n in range(6))) for k in (10, 11)]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["text"] for r in QUERIES["op5_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got[11] == "" and got[10] == rows[6][1]
+
+
 def test_patience_keeps_order():
     rows = [(0, 3, True), (1, 0, True), (2, 1, True), (3, 2, True), (9, 4, False), (4, 5, False)]
     aligned = linededup.patience(rows)
