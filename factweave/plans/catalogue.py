@@ -13,6 +13,7 @@ from ..functions.template import compile_template
 from ..operators import checks, graph, intervals, mapping, records, series, state
 from ..sources import files, tables
 from ..sources.tables import table
+from . import insights
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -274,6 +275,17 @@ def change_before_fault(spark: SparkSession, d: str) -> DataFrame:
     return last.select("seq", "subject", "start", F.when(recent, F.col("last.object_text")).alias("change"))
 
 
+@plan(f"""WITH {RUNS}, s AS (SELECT spans.subject, spans.start, spans.object_text, facts.fact_id FROM spans JOIN facts ON facts.seq = spans.seq)
+SELECT f.subject, f.start AS valid_from, 'mode became ' || c.object_text || ' before fault:error' AS text, c.fact_id AS change_id, f.fact_id AS fault_id
+FROM s f JOIN s c ON c.subject = f.subject AND c.start < f.start AND c.start >= strftime(strptime(f.start, '%Y-%m-%dT%H:%M:%S') - INTERVAL 24 HOUR, '%Y-%m-%dT%H:%M:%S') WHERE f.object_text = 'error' AND c.object_text <> 'error'""")
+def changes_before_fault(spark: SparkSession, d: str) -> DataFrame:
+    """Every change in the day before a fault; ``change_before_fault`` gives the latest one only."""
+    spans, fault = intervals.history(tables.facts(spark, d), ["subject"]), F.col("object_text") == "error"
+    faults = spans.where(fault).withColumns({"predicate": F.lit("health"), "object_text": F.lit("fault:error")})
+    found = insights.change_before_fault(faults, spans.where(~fault))
+    return found.select("subject", "valid_from", "text", F.col("because")[0].alias("change_id"), F.col("because")[1].alias("fault_id"))
+
+
 @plan(f"""WITH {RUNS}, b AS (SELECT subject, start, "end" FROM spans WHERE object_text = 'view' AND "end" IS NOT NULL), {HEALTH_ONLY}, k AS (SELECT subject, start, "end" FROM hs WHERE health = 'ok' AND "end" IS NOT NULL)
 SELECT b.subject, count(*) AS pairs, CAST(sum({seconds('greatest(b.start, k.start)', 'least(b."end", k."end")')}) AS BIGINT) AS seconds FROM b JOIN k ON b.subject = k.subject AND b.start < k."end" AND b."end" > k.start GROUP BY b.subject""")
 def mode_while_healthy(spark: SparkSession, d: str) -> DataFrame:

@@ -39,8 +39,11 @@ def starvation(spans: DataFrame, edges: DataFrame) -> DataFrame:
 def change_before_fault(spans: DataFrame, changes: DataFrame) -> DataFrame:
     """True value changes on a thing in the day before its fault: ``changes(subject, start, predicate, object_text, fact_id)``."""
     faults = spans.where("predicate = 'health' AND object_text LIKE 'fault:%'").select("subject", F.col("start").alias("valid_from"), F.col("object_text").alias("fault"), "fact_id")
-    c = changes.select("subject", F.col("start").alias("t"), "predicate", F.col("object_text").alias("to"), F.col("fact_id").alias("change_id"))
-    near = faults.join(c, "subject").where((F.col("t") < F.col("valid_from")) & (F.col("t") >= shifted(F.col("valid_from"), -CHANGE_SECONDS)))
+    day = lambda c: F.substring(c, 1, 10)
+    c = changes.select("subject", F.col("start").alias("t"), "predicate", F.col("object_text").alias("to"), F.col("fact_id").alias("change_id"), day(F.col("start")).alias("day"))
+    # The day before a fault lies on two dates, a change on one; so pairs meet once and by thing and date.
+    dated = faults.withColumn("day", F.explode(F.array(day(shifted(F.col("valid_from"), -CHANGE_SECONDS)), day(F.col("valid_from")))))
+    near = dated.join(c, ["subject", "day"]).where((F.col("t") < F.col("valid_from")) & (F.col("t") >= shifted(F.col("valid_from"), -CHANGE_SECONDS)))
     return finding(near, "change before fault", F.concat("predicate", F.lit(" became "), "to", F.lit(" before "), "fault"), F.array("change_id", "fact_id"))
 
 
