@@ -434,6 +434,20 @@ def identity_pairs(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(first, "h").where((F.col("doc_id") > F.col("f.doc_id")) & (F.col("source") != F.col("f.source"))).select(F.col("f.doc_id").alias("first_id"), "doc_id")
 
 
+@plan(f"""WITH {COPIES}, r AS (SELECT h, source, min(doc_id) AS first_id FROM d GROUP BY h, source)
+SELECT a.first_id, b.first_id AS doc_id, 'pair' AS link FROM r a JOIN r b ON a.h = b.h AND a.source <> b.source AND a.first_id < b.first_id
+UNION ALL SELECT r.first_id, d.doc_id, 'member' FROM d JOIN r ON d.h = r.h AND d.source = r.source WHERE d.doc_id <> r.first_id AND EXISTS (SELECT 1 FROM r o WHERE o.h = r.h AND o.source <> r.source)""")
+def identity_links(spark: SparkSession, d: str) -> DataFrame:
+    """Copies in different sources: pairs of the first document of each source, and which documents each of these stands for."""
+    docs = table(spark, d, "documents").select("doc_id", "source", F.md5("text").alias("h"))
+    first = docs.groupBy("h", "source").agg(F.min("doc_id").alias("first_id")).where("h IS NOT NULL AND source IS NOT NULL")
+    other = first.select("h", F.col("source").alias("source2"), F.col("first_id").alias("doc_id"))
+    both = first.join(other, "h").where("source <> source2")
+    crossing = both.select("h", "source", "first_id").distinct()
+    members = docs.join(crossing, ["h", "source"]).where("doc_id <> first_id")
+    return both.where("first_id < doc_id").select("first_id", "doc_id", F.lit("pair").alias("link")).unionByName(members.select("first_id", "doc_id", F.lit("member").alias("link")))
+
+
 @plan("""WITH x AS (SELECT doc_id, (length(lower(text)) - length(replace(lower(text), 'license', ''))) // 7 AS score FROM documents WHERE contains(lower(text), 'license') AND contains(lower(text), 'version'))
 SELECT doc_id, CAST(score AS INTEGER) AS score FROM x ORDER BY score DESC, doc_id LIMIT 20""")
 def search_evidence(spark: SparkSession, d: str) -> DataFrame:

@@ -16,3 +16,16 @@ def test_every_change_in_the_day_before_a_fault(spark, tmp_path):
     got = catalogue.QUERIES["changes_before_fault"](spark, d).collect()
     assert sorted(r["text"].split()[2] for r in got) == ["click", "purchase", "view"]
     assert {r["valid_from"] for r in got} == {"2024-01-02T10:00:00"} and len({r["change_id"] for r in got}) == 3
+
+
+def test_every_copy_in_another_source(spark, tmp_path):
+    said = [(1, "x", "a"), (2, "x", "a"), (3, "x", "b"), (4, "y", "a"), (5, "y", "a"), (6, "x", "c"), (7, None, "a"), (8, None, "b"), (9, "x", "c")]
+    spark.createDataFrame(said, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = catalogue.QUERIES["identity_links"](spark, str(tmp_path)).collect()
+    stands = {k: {k} for r in rows for k in (r["first_id"], r["doc_id"]) if r["link"] == "pair"}
+    for r in rows:
+        if r["link"] == "member":
+            stands[r["first_id"]].add(r["doc_id"])
+    pairs = [frozenset((a, b)) for r in rows if r["link"] == "pair" for a in stands[r["first_id"]] for b in stands[r["doc_id"]]]
+    want = {frozenset((a, b)) for a, s, x in said for b, t, y in said if s is not None and s == t and x != y}
+    assert set(pairs) == want and len(pairs) == len(want)
