@@ -119,7 +119,7 @@ def levels(calls: DataFrame) -> DataFrame:
 def format_chats(messages: DataFrame, schemas: Mapping[str, Mapping[str, Any]] = SCHEMAS) -> DataFrame:
     """conv_id, turn, role, anchor_turn, level, call_index, status, errors, json per message."""
     rows = small_batches(messages).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    maybe = F.coalesce(F.col("role").isin("assistant", "tool") & F.ltrim("text").startswith("{"), F.lit(False))
+    maybe = F.coalesce(F.col("role").isin("assistant", "tool") & F.col("text").rlike(r"^[ \t\r\n]*\{"), F.lit(False))
 
     def said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

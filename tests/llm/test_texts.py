@@ -116,6 +116,15 @@ def test_chat_links_orders_and_validates(spark):
     assert chat.format_chats(docs.limit(0)).count() == 0
 
 
+def test_chat_reads_calls_after_any_json_blank(spark):
+    blanks = ["", " ", "\n", "\t", "\r\n", " \t\n"]
+    rows = [(k, n, role, b + json.dumps(said)) for k, b in enumerate(blanks) for n, (role, said) in enumerate([("assistant", {"tool_calls": [call("a", query="x")]}), ("tool", {"tool_call_id": "a", "content": "ok"})])]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert [r["status"] for r in got] == ["linked"] * len(rows)
+    bad = spark.createDataFrame([(1, 0, "assistant", "\n" + json.dumps({"tool_calls": [call("a", bad=1)]}))], "conv_id long, turn long, role string, text string")
+    assert [r["status"] for r in chat.format_chats(bad).collect()] == ["invalid"]
+
+
 def test_flow_moves_the_fewest_bytes():
     rng = random.Random(8)
     for _ in range(30):
