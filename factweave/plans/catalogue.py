@@ -214,6 +214,35 @@ def utilisation(spark: SparkSession, d: str) -> DataFrame:
     return ended.groupBy("subject", F.col("object_text").alias("mode")).agg(F.sum(seconds_between(F.col("start"), F.col("end"))).alias("seconds"), F.count("*").alias("n"))
 
 
+CLOCKED = f"""WITH {RUNS}, s AS (SELECT spans.subject, spans.object_text AS mode, spans.start, spans."end", coalesce(spans."end", (SELECT max(t) FROM msgs)) AS until, facts.source FROM spans JOIN facts ON facts.seq = spans.seq)"""
+
+
+def clocked_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The robots' mode intervals with their sources; ``until`` is the site's clock where an interval is open."""
+    clock = tables.seen(spark, d).agg(F.max("t").alias("clock"))  # one row
+    spans = intervals.history(tables.facts(spark, d), ["subject"]).join(F.broadcast(clock))
+    return spans.select("subject", F.col("object_text").alias("mode"), "start", "end", F.coalesce("end", "clock").alias("until"), "source")
+
+
+@plan(f"""{CLOCKED} SELECT subject, start, "end", mode, {seconds('start', 'until')} AS seconds FROM s WHERE mode IN ('error', 'signup')""")
+def downtime_to_clock(spark: SparkSession, d: str) -> DataFrame:
+    """Downtime with the current interval, which has no end and counts up to the clock."""
+    down = clocked_spans(spark, d).where(F.arrays_overlap(tokens(F.col("mode")), F.array(*map(F.lit, WAITING))))
+    return down.select("subject", "start", "end", "mode", seconds_between(F.col("start"), F.col("until")).alias("seconds"))
+
+
+@plan(f"""{CLOCKED}, o AS (SELECT source, t, CASE WHEN coalesce({seconds('lag(t) OVER w', 't')} > {STALE}, true) THEN 1 ELSE 0 END AS opened FROM msgs WINDOW w AS (PARTITION BY source ORDER BY t)),
+n AS (SELECT source, t, sum(opened) OVER (PARTITION BY source ORDER BY t) AS no FROM o), p AS (SELECT source, min(t) AS a, max(t) AS b FROM n GROUP BY source, no)
+SELECT s.subject, s.mode, CAST(sum(CASE WHEN p.a IS NULL THEN 0 ELSE {seconds('greatest(s.start, p.a)', 'least(s.until, p.b)')} END) AS BIGINT) AS seconds FROM s LEFT JOIN p ON p.source = s.source AND p.a < s.until AND p.b > s.start GROUP BY ALL""")
+def utilisation_reported(spark: SparkSession, d: str) -> DataFrame:
+    """Seconds by mode up to the clock in which the interval's source kept reporting."""
+    spans = clocked_spans(spark, d).select("subject", "mode", "start", F.col("until").alias("end"), "source")
+    periods = intervals.sessions(tables.seen(spark, d), ["source"], "t", STALE).select("source", F.col("start").alias("start2"), F.col("end").alias("end2"))
+    both = intervals.overlap_join(spans, periods, ["source"], DAY).select("subject", "mode", seconds_between(F.greatest("start", "start2"), F.least("end", "end2")).alias("seconds"))
+    none = spans.select("subject", "mode", F.lit(0).cast("long").alias("seconds"))
+    return both.unionByName(none).groupBy("subject", "mode").agg(F.sum("seconds").alias("seconds"))
+
+
 HEALTH_ONLY = """h AS (SELECT seq, subject, t, CASE WHEN mode = 'error' THEN 'fault:error' ELSE 'ok' END AS health FROM msgs),
 hm AS (SELECT *, CASE WHEN lag(health) OVER (PARTITION BY subject ORDER BY t, seq) IS DISTINCT FROM health THEN 1 ELSE 0 END AS new FROM h),
 hs AS (SELECT subject, health, t AS start, lead(t) OVER (PARTITION BY subject ORDER BY t, seq) AS "end", seq FROM hm WHERE new = 1)"""

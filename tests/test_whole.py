@@ -29,3 +29,13 @@ def test_every_copy_in_another_source(spark, tmp_path):
     pairs = [frozenset((a, b)) for r in rows if r["link"] == "pair" for a in stands[r["first_id"]] for b in stands[r["doc_id"]]]
     want = {frozenset((a, b)) for a, s, x in said for b, t, y in said if s is not None and s == t and x != y}
     assert set(pairs) == want and len(pairs) == len(want)
+
+
+def test_open_intervals_count_to_the_clock_while_the_source_reports(spark, tmp_path):
+    # Source 1 reports at 0:00, 0:30 and 5:00, 5:20; robot 7 is in view until 5:20, the clock; silence from 0:30 to 5:00 is no used time.
+    said = [(1, "00:00", 7, "view"), (5, "00:30", 8, "error"), (9, "05:00", 8, "error"), (13, "05:20", 8, "error")]
+    d = events(spark, tmp_path, [(k, f"2024-01-01 {t}:00", who, mode, 1.0, None) for k, t, who, mode in said])
+    used = {(r["subject"], r["mode"]): r["seconds"] for r in catalogue.QUERIES["utilisation_reported"](spark, d).collect()}
+    assert used == {("robot:7", "view"): 3000, ("robot:8", "error"): 1200}
+    down = [(r["subject"], r["start"], r["end"], r["seconds"]) for r in catalogue.QUERIES["downtime_to_clock"](spark, d).collect()]
+    assert down == [("robot:8", "2024-01-01T00:30:00", None, 17400)]
