@@ -57,3 +57,22 @@ def rate_when(events: DataFrame, spans: DataFrame, periods: DataFrame, limits: L
     a, b = F.try_divide("with_n", "hours"), F.try_divide("without_n", "without_hours")
     verdict = F.when(short, "too little data").when(b == 0, F.when(a > 0, "supported").otherwise("not supported")).when(a >= limits.ratio * b, "supported").otherwise("not supported")
     return out.select("subject", "with_n", "without_n", "hours", "without_hours", F.try_divide(a, b).alias("ratio"), verdict.alias("verdict"))
+
+
+#: Of ``before_after``: fewer events, or a smaller share of observed time on a side, decide nothing; ratios that support and reject.
+MIN_EVENTS, MIN_SHARE, SUPPORT, REJECT = 3, 0.05, 2.0, 1.25
+
+
+def before_after(events: DataFrame, periods: DataFrame, at: str, expect: str = "more") -> DataFrame:
+    """Events ``subject, t`` by observed hours after and before ``at``, and whether the rate moved as expected (``more`` or ``fewer``)."""
+    late, early = F.greatest("start", F.lit(at)), F.least("end", F.lit(at))
+    span = lambda a, b: F.coalesce(F.sum(F.greatest(seconds_between(a, b), F.lit(0))) / 3600.0, F.lit(0.0))
+    observed_ = periods.agg(span(late, F.col("end")).alias("hours_after"), span(F.col("start"), early).alias("hours_before"))  # one row
+    counts = events.groupBy("subject").agg(F.count_if(F.col("t") >= at).alias("after_n"), F.count_if(F.col("t") < at).alias("before_n"))
+    a, b = F.try_divide("after_n", "hours_after"), F.try_divide("before_n", "hours_before")
+    up, down = (a, b) if expect == "more" else (b, a)
+    ratio = F.when(down == 0, F.lit(float("inf"))).otherwise(F.try_divide(up, down))
+    least = F.least("hours_after", "hours_before")
+    short = (F.col("after_n") + F.col("before_n") < MIN_EVENTS) | (least <= 0) | (least < MIN_SHARE * (F.col("hours_after") + F.col("hours_before")))
+    verdict = F.when(short, "inconclusive").when(ratio >= SUPPORT, "supported").when(ratio < REJECT, "rejected").otherwise("inconclusive")
+    return counts.join(F.broadcast(observed_)).select("subject", "after_n", "before_n", "hours_after", "hours_before", F.when(~short, ratio).alias("ratio"), verdict.alias("verdict"))

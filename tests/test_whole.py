@@ -39,3 +39,16 @@ def test_open_intervals_count_to_the_clock_while_the_source_reports(spark, tmp_p
     assert used == {("robot:7", "view"): 3000, ("robot:8", "error"): 1200}
     down = [(r["subject"], r["start"], r["end"], r["seconds"]) for r in catalogue.QUERIES["downtime_to_clock"](spark, d).collect()]
     assert down == [("robot:8", "2024-01-01T00:30:00", None, 17400)]
+
+
+def test_before_after_compares_rates_over_observed_time(spark):
+    from factweave.plans import research
+
+    p = spark.createDataFrame([("2024-01-01T00:00:00", "2024-01-01T08:00:00"), ("2024-01-02T00:00:00", "2024-01-02T02:00:00")], "start string, end string")
+    rows = [("x", f"2024-01-01T0{k}:00:00") for k in range(4)] + [("x", f"2024-01-02T0{k}:00:00") for k in (0, 1)] + [("y", "2024-01-01T01:00:00")]
+    e = spark.createDataFrame(rows, "subject string, t string")
+    said = lambda at, expect: {r["subject"]: (r["verdict"], r["ratio"]) for r in research.before_after(e, p, at, expect).collect()}
+    # Fewer events after, but in two hours and not eight.
+    assert said("2024-01-02T00:00:00", "more") == {"x": ("supported", 2.0), "y": ("inconclusive", None)}
+    assert said("2024-01-02T00:00:00", "fewer")["x"] == ("rejected", 0.5)
+    assert said("2024-01-02T01:50:00", "more")["x"] == ("inconclusive", None)
