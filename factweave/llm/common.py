@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import ctypes
-import ctypes.util
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.shared import scratch, written
 from ..operators.graph import components
 
-__all__ = ["components", "count_words", "give_back", "groups", "let", "mix", "pieces", "scratch", "small_batches", "table", "tidy", "utf8", "word_hashes", "word_spans", "words", "written"]
+__all__ = ["components", "count_words", "give_back", "groups", "let", "meet", "mix", "pieces", "scratch", "small_batches", "table", "tidy", "utf8", "word_hashes", "word_spans", "words", "written"]
 
 #: Separators of words: ASCII blank, tab, line feed, vertical tab, form feed, carriage return.
 WS = r"[\x20\x09-\x0D]+"
@@ -47,6 +47,19 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def meet(rows: DataFrame, keyed: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keyed``, which has one row per value of ``on`` and in ``n`` how many of ``rows`` have it.
+
+    A value is hot if it holds more than a quarter of a task's share of all rows. So hot values are at most a few
+    per shuffle partition, whatever the input, and are broadcast; only the others are dealt out by their hash.
+    ``rows`` is read twice and should be a written table; ``how`` is inner or left.
+    """
+    share = max(1, rows.count() // (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    hot, cool = keyed.where(F.col("n") > share).drop("n"), keyed.where(F.col("n") <= share).drop("n")
+    rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(cool, on, how)
+    return rest.unionByName(rows.join(F.broadcast(hot), on).select(rest.columns))
+
+
 def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -112,13 +125,17 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return word_spans(raw, offsets)[:2]
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    """The allocator's function that gives memory back, if it has one: looked up once a worker."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def give_back() -> None:
     """Returns freed memory to the system, which a worker that waits for its next task would keep else."""
     pa.default_memory_pool().release_unused()
     _POWERS.clear()
-    libc = ctypes.util.find_library("c")
-    trim = getattr(ctypes.CDLL(libc), "malloc_trim", None) if libc else None
-    if trim is not None:
+    if (trim := _trim()) is not None:
         trim(0)
 
 

@@ -1,45 +1,39 @@
-"""Line dedup by alignment with earlier documents.
-
-``copies`` is what the queries use. A block is a run of neighbouring lines with at least ``min_block_words``
-words; every line of a document that lies in a block which any earlier document holds too, anywhere and
-however often, is deleted. The smallest blocks suffice for that: those that hold enough words no more
-without their first or without their last line. Each line of a longer block lies in a smallest one of it. They have at most
-``min_block_words / min_line_words`` lines, so their number is linear in the lines, and one join with the
-earliest holder of each smallest block compares a document with all earlier ones. The earliest holder of
-a line keeps it.
-
-``deletions`` is narrower: it aligns a document in order, and with the earliest holders of its single lines only.
-
-1. Lines of at least ``min_line_words`` words, short ones being common by nature, are hashed; a hash in
-   two documents or more has an owner, the earliest document that has it. A document is paired with the
-   owners of its lines. So a line in n documents makes n - 1 links, never all n * n, and none is left out
-   for being frequent.
-2. A pair is aligned by patience diff over the lines that it shares: those that occur once in either
-   document are anchors, matched along a longest increasing run; repeated ones are matched in the gaps.
-3. Runs of aligned neighbours with at least ``min_block_words`` words are deleted from the later document.
-   Lines are neighbours if only shorter ones than ``min_line_words`` lie between.
-
-The owner of a line keeps it, so at least one copy of everything stays. Documents are ordered by id
-(null last), then by a hash of the text.
+"""Line dedup by pairwise alignment: common blocks go from the later document.
+
+1. A block is a run of neighbouring lines with at least ``min_block_words`` words; lines of fewer than
+   ``min_line_words`` words, which are common by nature, don't count and don't part neighbours. Documents are
+   hashed by their smallest blocks: those that hold enough words no more without their first or without their
+   last line. Every line of a longer block lies in a smallest one of it, and a smallest one has at most
+   ``min_block_words / min_line_words`` lines, so the hashes are linear in the lines. A hash over several lines
+   is rare where its single lines are frequent, so no line has to be left out for being frequent.
+2. A document is paired with the earliest holder of each of its blocks: a block in n documents makes n - 1
+   pairs, never n * n. No block is lost by that, since a later holder has nothing that the earliest lacks.
+3. A pair is aligned by patience diff over the blocks that it shares: those that occur once in either
+   document are anchors, matched along a longest rising run, and repeated ones are matched in the gaps.
+   Blocks that stand in another order in the two documents are aligned by themselves, in as few rising
+   runs as there can be.
+4. The lines of aligned blocks are deleted from the later document. So what goes is exactly every line in a
+   block that any earlier document holds, anywhere and however often, and the earliest holder keeps it.
+
+Documents are ordered by id (null last), then by a hash of the text.
 
 Defined results: null texts stay null and have no lines; empty texts and texts without a long enough
 line are left alone; rows that are equal in id and text are one document, are treated alike and never
 deduplicated against each other; an empty table gives an empty result; lines repeated inside one
-document only are left alone; texts of any length are handled as narrow rows, one per line, and only a pair's
-shared lines are held by a task; extra columns are carried through, whatever their names.
+document only are left alone; texts of any length are handled as narrow rows, one per block, and only a pair's
+shared blocks are held by a task; extra columns are carried through, whatever their names.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from bisect import bisect_right
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import count_words, groups, let, small_batches, tidy, written
+from .common import count_words, groups, let, meet, small_batches, tidy, written
 
 MIN_LINE_WORDS, MIN_BLOCK_WORDS = 3, 10
 
@@ -52,12 +46,12 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 
 def longest_run(values: list[int]) -> list[int]:
-    """Positions of a longest strictly increasing subsequence."""
+    """Positions of a longest subsequence that never falls."""
     tails: list[int] = []
     at: list[int] = []
     back = [-1] * len(values)
     for i, v in enumerate(values):
-        k = bisect_left(tails, v)
+        k = bisect_right(tails, v)
         back[i] = at[k - 1] if k else -1
         if k == len(tails):
             tails.append(v)
@@ -71,98 +65,82 @@ def longest_run(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def patience(rows: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
-    """Aligned pairs (line of a, line of b), both rising, of candidate pairs with a mark for lines unique in both.
+def patience(rows: list[tuple[int, int, bool]]) -> list[int]:
+    """Positions of the aligned rows among ``rows`` (place in a, place in b, unique in both), which rise in b.
 
-    The unique lines are the anchors: a longest run of them that rises in both. Other lines, of which
-    the k-th occurrence of one document faces the k-th of the other, are aligned within the gaps.
+    The unique ones are the anchors: a longest run of them that never falls in a. Others are aligned within the gaps.
     """
-    rows = sorted(rows, key=lambda r: (r[1], r[0]))
-    sure = [(x, y) for x, y, unique in rows if unique]
-    anchors = [sure[k] for k in longest_run([x for x, _ in sure])]
-    rest = [(x, y) for x, y, unique in rows if not unique]
-    out: list[tuple[int, int]] = []
-    k, low = 0, (-1, -1)
-    for high in [*anchors, (1 << 60, 1 << 60)]:
-        gap = []
-        while k < len(rest) and rest[k][1] < high[1]:
-            if low[0] < rest[k][0] < high[0]:
-                gap.append(rest[k])
-            k += 1
-        out += [gap[i] for i in longest_run([x for x, _ in gap])]
-        if high[0] < 1 << 60:
-            out.append(high)
-        low = high
+    sure = [k for k, r in enumerate(rows) if r[2]]
+    anchors = [sure[k] for k in longest_run([rows[k][0] for k in sure])]
+    out: list[int] = []
+    before, low = -1, -1
+    for anchor in [*anchors, len(rows)]:
+        high = rows[anchor][0] if anchor < len(rows) else 1 << 60
+        gap = [k for k in range(before + 1, anchor) if not rows[k][2] and low <= rows[k][0] <= high]
+        out += [gap[i] for i in longest_run([rows[k][0] for k in gap])]
+        if anchor < len(rows):
+            out.append(anchor)
+        before, low = anchor, high
     return out
 
 
-def blocks(pairs: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """Runs (line of a, line of b, length) of aligned neighbours."""
-    out: list[list[int]] = []
-    for x, y in pairs:
-        if out and x == out[-1][0] + out[-1][2] and y == out[-1][1] + out[-1][2]:
-            out[-1][2] += 1
+def rising(values: list[int]) -> list[list[int]]:
+    """Positions dealt into as few subsequences that never fall as there can be (the piles of patience sorting)."""
+    tails: list[int] = []
+    piles: list[list[int]] = []
+    for i, v in enumerate(values):
+        k = bisect_right(tails, v) - 1
+        if k < 0:
+            tails.insert(0, v)
+            piles.insert(0, [i])
         else:
-            out.append([x, y, 1])
-    return [tuple(r) for r in out]
-
-
-def _deletions(min_words: int):
-    schema = pa.schema([("b", pa.string()), ("line", pa.int32())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for (b, _), rows in groups(batches, ["b", "a"]):
-            la, lb, line, unique, w = (rows.column(k).to_pylist() for k in ("a_rank", "b_rank", "b_line", "unique", "w"))
-            line_of, words_of = dict(zip(lb, line, strict=True)), dict(zip(lb, w, strict=True))
-            gone = [line_of[y + k] for _, y, n in blocks(patience([*zip(la, lb, unique, strict=True)])) if sum(words_of[y + k] for k in range(n)) >= min_words for k in range(n)]
-            if gone:
-                held.append(pa.RecordBatch.from_arrays([pa.array([b] * len(gone)), pa.array(gone, pa.int32())], schema=schema))
-                if len(held) >= 256:
-                    yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                    held = []
-        yield from held
-
-    return run
-
-
-def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_line_words: int = MIN_LINE_WORDS, min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
-    """key and line of every line to delete."""
-    long_enough = F.filter(
-        F.transform(F.split(text_col, "\n"), lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("h"), count_words(x).cast("int").alias("w"))),
-        lambda x: x["w"] >= min_line_words,
-    )
-    same = W.partitionBy("key", "h").orderBy("rank")
-    lines = written(
-        small_batches(docs).where(F.col(text_col).isNotNull())
-        .select(row_key(id_col, text_col).alias("key"), F.posexplode(long_enough).alias("rank", "x"))
-        .select("key", "rank", "x.line", "x.h", "x.w")
-        .dropDuplicates(["key", "rank"])
-        .withColumns({"occurrence": F.row_number().over(same), "n": F.count("*").over(W.partitionBy("key", "h"))}),
-        "lines",
-    )
-    owners = written(
-        lines.groupBy("h").agg(F.min("key").alias("owner"), F.max("key").alias("last"), F.count("*").alias("rows")).where("owner <> last").select("h", "owner", "rows"), "owners",
-    )
-    # A line is hot if it holds more than a quarter of a task's share of all rows; so hot lines, and the salts
-    # that all of them get together, are at most a few per shuffle partition, whatever the input.
-    share = max(1, lines.count() // (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    hot = owners.where(F.col("rows") > share).select("h", "owner", F.ceil(F.col("rows") / share).cast("long").alias("salts"))
-    cool = owners.where(F.col("rows") <= share).select("h", "owner", F.lit(1).cast("long").alias("salts"))
-    rest = lines.join(F.broadcast(hot.select("h")), "h", "left_anti").join(cool, "h")
-    common = written(rest.unionByName(lines.join(F.broadcast(hot), "h")), "common-lines")
-    first = common.where("key = owner").select(
-        "h", "occurrence", F.col("rank").alias("a_rank"), F.col("n").alias("a_n"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"),
-    )
-    text_key = lambda c: F.concat_ws(":", F.when(F.col(c)["none"], "-").otherwise(F.col(c)["id"].cast("string")), F.col(c)["h"].cast("string"))
-    both = common.where("key <> owner").withColumn("salt", F.pmod(F.xxhash64("key"), "salts")).join(first, ["h", "occurrence", "salt"]).select(
-        text_key("key").alias("b"), text_key("owner").alias("a"), "a_rank", F.col("rank").alias("b_rank"), F.col("line").alias("b_line"), ((F.col("n") == 1) & (F.col("a_n") == 1)).alias("unique"), "w",
-    )
-    return both.repartition("b").sortWithinPartitions("b", "a", "b_rank").mapInArrow(tidy(_deletions(min_block_words)), "b string, line int")
-
-
-def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_line_words: int = MIN_LINE_WORDS, min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
-    """key and line of every line in a block that an earlier document holds too."""
+            tails[k] = v
+            piles[k].append(i)
+    return piles
+
+
+def align(rows: list[tuple[int, int, bool]]) -> Iterator[tuple[bool, list[int]]]:
+    """The patience alignment of a pair, then the alignments of what stands in another order: moved or not, positions in ``rows``."""
+    main = patience(rows)
+    yield False, main
+    done = set(main)
+    rest = [k for k in range(len(rows)) if k not in done]
+    for pile in rising([rows[k][0] for k in rest]):
+        yield True, [rest[i] for i in pile]
+
+
+_SPANS = pa.schema([("b", pa.string()), ("a", pa.string()), ("b_rank", pa.int32()), ("a_rank", pa.int32()), ("n", pa.int32()), ("moved", pa.bool_()), ("lines", pa.list_(pa.int32()))])
+_SPANS_DDL = "b string, a string, b_rank int, a_rank int, n int, moved boolean, lines array<int>"
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[dict] = []
+    for (b, a), pair in groups(batches, ["b", "a"]):
+        at_a, at_b, size, name, sole, lines = (pair.column(k).to_pylist() for k in ("a_rank", "b_rank", "k", "name", "sole", "lines"))
+        seen: dict[int, int] = {}
+        for x in name:
+            seen[x] = seen.get(x, 0) + 1
+        rows = [(x, y, s and seen[z] == 1) for x, y, s, z in zip(at_a, at_b, sole, name, strict=True)]
+        for moved, run in align(rows):
+            span: dict | None = None
+            for k in run:  # blocks that overlap or touch, at one distance, are one span
+                if span is None or at_b[k] - at_a[k] != span["b_rank"] - span["a_rank"] or at_b[k] > span["b_rank"] + span["n"]:
+                    span = {"b": b, "a": a, "b_rank": at_b[k], "a_rank": at_a[k], "n": 0, "moved": moved, "lines": []}
+                    held.append(span)
+                new = at_b[k] + size[k] - span["b_rank"] - span["n"]
+                if new > 0:
+                    span["lines"] += lines[k][-new:]
+                    span["n"] += new
+        if sum(s["n"] for s in held) >= 10_000:
+            yield pa.RecordBatch.from_pylist(held, _SPANS)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_pylist(held, _SPANS)
+
+
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_line_words: int = MIN_LINE_WORDS, min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
+    """Aligned common blocks: the later document b and the earlier a (``key_text``), where the block begins among the counted
+    lines of either (from 1), its lines, whether it stands out of order, and the line numbers of b (from 0)."""
     least = max(1, min_line_words)
     most = max(1, -(-min_block_words // least))
     long_enough = F.filter(
@@ -177,34 +155,42 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
 
     def smallest(rows: Column) -> Column:
         lengths = lambda i: F.sequence(F.lit(1), F.least(F.lit(most), F.size(rows) - i + 1))
-        spans = F.flatten(F.transform(F.sequence(F.lit(1), F.size(rows)), lambda i: F.filter(F.transform(lengths(i), lambda k: block(rows, i, k)), lambda b: b["smallest"])))
-        return F.transform(spans, lambda b: let(F.slice(rows, b["i"], b["k"]), lambda x: F.struct(F.xxhash64(x["h"]).alias("name"), x["line"].alias("lines"))))
+        found = F.flatten(F.transform(F.sequence(F.lit(1), F.size(rows)), lambda i: F.filter(F.transform(lengths(i), lambda k: block(rows, i, k)), lambda b: b["smallest"])))
+        return F.transform(found, lambda b: let(F.slice(rows, b["i"], b["k"]), lambda x: F.struct(F.xxhash64(x["h"]).alias("name"), b["i"].alias("i"), x["line"].alias("lines"))))
 
     found = written(
         docs.where(F.col(text_col).isNotNull()).select(row_key(id_col, text_col).alias("key"), long_enough.alias("rows")).where(F.size("rows") > 0)
         .select("key", F.inline(let(F.col("rows"), smallest))),
         "blocks",
     )
-    owners = written(found.groupBy("name").agg(F.min("key").alias("owner"), F.max("key").alias("last"), F.count("*").alias("n")).where("owner <> last").select("name", "owner", "n"), "owners")
-    # A block is hot if it holds more than a quarter of a task's share of all rows: at most a few per shuffle partition.
-    share = max(1, found.count() // (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    hot, cool = (owners.where(c).select("name", "owner") for c in (F.col("n") > share, F.col("n") <= share))
-    met = found.join(F.broadcast(hot.select("name")), "name", "left_anti").join(cool, "name").unionByName(found.join(F.broadcast(hot), "name"))
-    text_key = F.concat_ws(":", F.when(F.col("key")["none"], "-").otherwise(F.col("key")["id"].cast("string")), F.col("key")["h"].cast("string"))
-    return met.where("key <> owner").select(text_key.alias("b"), F.explode("lines").alias("line"))
-
-
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = deletions, **sizes: int) -> DataFrame:
-    """``docs`` with the lines cut that ``find`` names, and n_lines and n_deleted (of the text as it was)."""
-    key = F.concat_ws(":", F.when(F.col(id_col).isNull(), "-").otherwise(F.col(id_col).cast("long").cast("string")), F.xxhash64(text_col).cast("string"))
-    gone = find(docs, id_col, text_col, **sizes).groupBy(F.col("b").alias("__b")).agg(F.sort_array(F.collect_set("line")).alias("__gone"))
+    # The first and the last place of a block in its earliest holder: it is the only one there if they are the same.
+    owners = written(
+        found.groupBy("name").agg(F.min(F.struct("key", "i")).alias("first"), F.min(F.struct("key", (-F.col("i")).alias("i"))).alias("final"), F.max("key").alias("last"), F.count("*").alias("n"))
+        .where("first.key <> last")
+        .select("name", F.col("first.key").alias("owner"), F.col("first.i").alias("a_rank"), (F.col("first.i") == -F.col("final.i")).alias("sole"), "n"),
+        "owners",
+    )
+    met = meet(found, owners, "name").where("key <> owner").select(
+        key_text(F.col("key")).alias("b"), key_text(F.col("owner")).alias("a"), "a_rank", F.col("i").alias("b_rank"), F.size("lines").alias("k"), "name", "sole", "lines",
+    )
+    return small_batches(met).repartition("b").sortWithinPartitions("b", "a", "b_rank", "k").mapInArrow(tidy(_aligned), _SPANS_DDL)
+
+
+def key_text(key: Column) -> Column:
+    return F.concat_ws(":", F.when(key["none"], "-").otherwise(key["id"].cast("string")), key["h"].cast("string"))
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:
+    """``docs`` without the lines of aligned blocks, and n_lines and n_deleted (of the text as it was)."""
+    found = spans(docs, id_col, text_col, **sizes)
+    gone = found.groupBy(F.col("b").alias("__b")).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("__gone"))
     split, last = F.split(text_col, "\n"), F.col("__gone")
     # The deleted lines are sorted: only the runs of kept lines between them are cut out.
     begin = lambda i: F.coalesce(F.get(last, i - 1) + 1, F.lit(0))
     kept = let(split, lambda rows: F.flatten(
         F.transform(F.concat(last, F.array(F.size(rows))), lambda x, i: F.slice(rows, begin(i) + 1, x - begin(i)))
     ))
-    joined = docs.withColumn("__key", key).join(gone, F.col("__key") == F.col("__b"), "left")
+    joined = docs.withColumn("__key", key_text(row_key(id_col, text_col))).join(gone, F.col("__key") == F.col("__b"), "left")
     n_deleted = F.coalesce(F.size("__gone"), F.lit(0))
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     return joined.select(

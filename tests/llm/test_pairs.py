@@ -102,59 +102,6 @@ def test_shingles_count_like_python():
     assert [len(s) for s in jaccard.shingle_sets(*utf8(pa.array(texts)), 3)] == [len(shingles(t)) for t in texts]
 
 
-def plain_dedup(rows, min_line=3, min_block=10):
-    """The same rule stated over dicts."""
-    count = lambda s: len(WORD.findall(s))
-    docs = {}
-    for i, t in rows:
-        if t is not None:
-            docs[(i is None, i or 0, t)] = [(k, x) for k, x in enumerate(t.split("\n")) if count(x) >= min_line]
-    owner = {}
-    order = sorted(docs, key=lambda d: (d[0], d[1]))
-    for d in order:
-        for _, x in docs[d]:
-            owner.setdefault(x, d)
-    out = {}
-    for d in order:
-        gone = set()
-        for a in {owner[x] for _, x in docs[d]} - {d}:
-            mine, theirs = [x for _, x in docs[d]], [x for _, x in docs[a]]
-            rows_ = []
-            for r, x in enumerate(mine):
-                if owner[x] == a:
-                    nth = mine[:r].count(x)
-                    places = [k for k, y in enumerate(theirs) if y == x]
-                    if nth < len(places):
-                        rows_.append((places[nth], r, mine.count(x) == 1 and len(places) == 1))
-            for _, y, n in linededup.blocks(linededup.patience(rows_)):
-                if sum(count(mine[y + k]) for k in range(n)) >= min_block:
-                    gone |= {docs[d][y + k][0] for k in range(n)}
-        out[d] = gone
-    return sorted(((i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in out[(i is None, i or 0, t)])) for i, t in rows), key=str)
-
-
-def test_line_dedup_like_plain_python(spark):
-    rng = random.Random(7)
-    pool = [" ".join(f"v{rng.randint(0, 30)}" for _ in range(rng.randint(1, 9))) for _ in range(25)]
-    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 14)))) for i in range(60)]
-    passage = "\n".join(f"this is line {k} of a passage that repeats" for k in range(8))
-    rows += [(100 + i, f"head {i} of it all\n{passage}\ntail {i} of it all") for i in range(20)]
-    rows += [(200, None), (201, ""), (202, "\n\n"), (None, passage), (203, rows[70][1]), (203, rows[70][1])]
-    got = linededup.dedup(spark.createDataFrame(rows, DOCS).withColumn("n_lines", F.lit(1)))
-    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == plain_dedup(rows)
-    kept = [r for r in got.collect() if r["text"] and "of a passage" in r["text"]]
-    assert [r["doc_id"] for r in kept] == [100]
-    assert linededup.dedup(spark.createDataFrame([], DOCS)).count() == 0
-
-
-def test_line_dedup_salts_hot_lines(spark):
-    hot = "one line that nearly every document of them holds twice"
-    rows = [(i, "\n".join([f"own line {i} of it", hot, *([hot] if i % 3 else []), f"end {i % 5} of it all"])) for i in range(200)]
-    got = linededup.dedup(spark.createDataFrame(rows, DOCS))
-    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == plain_dedup(rows)
-    assert sum(hot not in t for _, t in plain_dedup(rows)) == 66  # document 0 holds it once, so second copies stay
-
-
 def every_copy(rows, min_line=3, min_block=10):
     """Every common run with every earlier document, by brute force."""
     count = lambda s: len(WORD.findall(s))
@@ -177,19 +124,60 @@ def every_copy(rows, min_line=3, min_block=10):
     return sorted(out, key=str)
 
 
-def test_copies_meet_every_earlier_document(spark):
+def deduped(spark, rows):
+    return sorted(((r["doc_id"], r["text"]) for r in linededup.dedup(spark.createDataFrame(rows, DOCS).withColumn("n_lines", F.lit(1))).collect()), key=str)
+
+
+def test_line_dedup_meets_every_earlier_document(spark):
     rng = random.Random(11)
     pool = [" ".join(f"v{rng.randint(0, 30)}" for _ in range(rng.randint(1, 9))) for _ in range(25)]
     rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 14)))) for i in range(60)]
     block = [f"short line {k}" for k in range(6)]
-    rows += [(100 + k, x) for k, x in enumerate(block)]  # each line has another owner
-    rows += [(110, "\n".join(block)), (111, "\n".join([*block, "not of it", *block])), (200, None), (201, ""), (None, "\n".join(block))]
+    rows += [(100 + k, x) for k, x in enumerate(block)]  # each line has another earliest holder
+    rows += [(110, "\n".join(block)), (111, "\n".join([*block, "not of it", *block])), (200, None), (201, ""), (202, "\n\n"), (None, "\n".join(block))]
     hot = "one line that nearly every document of them holds twice"
     rows += [(300 + i, f"own line {i} of it\n{hot}\n{hot}" if i else hot) for i in range(40)]
-    got = {r["doc_id"]: r["text"] for r in linededup.dedup(spark.createDataFrame(rows, DOCS), find=linededup.copies).collect()}
-    assert sorted(got.items(), key=str) == every_copy(rows)
-    assert got[110] == "\n".join(block) and got[111] == "not of it" and got[None] == "" and got[339] == "own line 39 of it"
-    assert linededup.dedup(spark.createDataFrame([], DOCS), find=linededup.copies).count() == 0
+    got = deduped(spark, rows)
+    assert got == every_copy(rows)
+    text = dict(got)
+    assert text[110] == "\n".join(block) and text[111] == "not of it" and text[None] == "" and text[339] == "own line 39 of it"
+    assert linededup.dedup(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_line_dedup_of_passages_and_repeated_rows(spark):
+    passage = "\n".join(f"this is line {k} of a passage that repeats" for k in range(8))
+    rows = [(100 + i, f"head {i} of it all\n{passage}\ntail {i} of it all") for i in range(20)]
+    rows += [(None, passage), (203, rows[10][1]), (203, rows[10][1])]
+    got = deduped(spark, rows)
+    assert got == every_copy(rows)
+    assert [i for i, t in got if "of a passage" in t] == [100]
+    three = "\n".join(f"just four words {k}" for k in range(3))
+    rows = [(1, "just four words 0"), (2, three), (3, three)]  # the first line's earliest holder has nothing else
+    assert deduped(spark, rows) == [(1, "just four words 0"), (2, three), (3, "")]
+
+
+def test_line_dedup_salts_hot_lines(spark):
+    hot = "one line that nearly every document of them holds twice"
+    rows = [(i, "\n".join([f"own line {i} of it", hot, *([hot] if i % 3 else []), f"end {i % 5} of it all"])) for i in range(200)]
+    got = deduped(spark, rows)
+    assert got == every_copy(rows) and sum(hot in t for _, t in got) == 1
+
+
+def test_line_dedup_aligns_in_order_first(spark):
+    part = lambda c, n=4: [f"{c} line {k} of the block" for k in range(n)]
+    a, b, c, d = (part(x) for x in "abcd")
+    texts = {1: [*a, "x y z", *b, *c, *d], 2: [*b, "own words of two here", *c, *a], 3: [x for p in (d, c, b, a) for x in p]}
+    docs = spark.createDataFrame([(i, "\n".join(t)) for i, t in texts.items()], DOCS)
+    found = [r.asDict() for r in linededup.spans(docs).collect()]
+    for s in found:
+        i, j = int(s["b"].split(":")[0]), int(s["a"].split(":")[0])
+        assert j < i and texts[i][s["b_rank"] - 1 : s["b_rank"] - 1 + s["n"]] == texts[j][s["a_rank"] - 1 : s["a_rank"] - 1 + s["n"]]
+        assert [texts[i][k] for k in s["lines"]] == texts[i][s["b_rank"] - 1 : s["b_rank"] - 1 + s["n"]]
+    for i, blocks in ((2, 1), (3, 3)):
+        mine = [s for s in found if s["b"].startswith(f"{i}:")]
+        moved = [s for s in mine if s["moved"]]
+        assert len(moved) == blocks and len(mine) - len(moved) == (2 if i == 2 else 1)
+    assert [t for _, t in sorted(deduped(spark, [(i, "\n".join(t)) for i, t in texts.items()]))] == ["\n".join(texts[1]), "own words of two here", ""]
 
 
 def test_op5_query_takes_every_copy(spark, tmp_path):
@@ -202,7 +190,11 @@ def test_op5_query_takes_every_copy(spark, tmp_path):
 
 
 def test_patience_keeps_order():
-    rows = [(0, 3, True), (1, 0, True), (2, 1, True), (3, 2, True), (9, 4, False), (4, 5, False)]
-    aligned = linededup.patience(rows)
-    assert aligned == [(1, 0), (2, 1), (3, 2), (9, 4)] or aligned == [(1, 0), (2, 1), (3, 2), (4, 5)]
-    assert linededup.blocks([(1, 0), (2, 1), (3, 2), (5, 3)]) == [(1, 0, 3), (5, 3, 1)]
+    rows = [(1, 0, True), (2, 1, True), (3, 2, True), (0, 3, True), (9, 4, False), (4, 5, False), (4, 6, False)]
+    assert [rows[k][:2] for k in linededup.patience(rows)] == [(1, 0), (2, 1), (3, 2), (4, 5), (4, 6)]
+    rng = random.Random(2)
+    for _ in range(200):
+        rows = [(rng.randint(0, 12), k, rng.random() < 0.5) for k in range(rng.randint(0, 14))]
+        runs = [run for _, run in linededup.align(rows)]
+        assert sorted(k for run in runs for k in run) == list(range(len(rows)))  # nothing is lost
+        assert all([rows[k][0] for k in run] == sorted(rows[k][0] for k in run) and run == sorted(run) for run in runs)
