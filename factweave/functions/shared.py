@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: list[tempfile.TemporaryDirectory] = []
+_MADE: set[str] = set()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -24,16 +25,43 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not _LOCAL:
             _LOCAL.append(tempfile.TemporaryDirectory(prefix="factweave-"))
         base = f"file://{_LOCAL[0].name}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.add(path)
+    return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts the lineage and survives lost executors."""
-    path = scratch(df.sparkSession, name)
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` and read again: cuts the lineage and survives lost executors."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` stored in a new folder of the shared one."""
+    return stored(df, scratch(df.sparkSession, name))
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders that nothing will read again."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _MADE.discard(path)
+
+
+def sweep(spark: SparkSession, keep: set[str] = frozenset()) -> None:
+    """Deletes every folder that this driver has made in the shared one, but those of ``keep``.
+
+    For the end of a run, when no table that was made on the way is read any more.
+    """
+    remove(spark, *(_MADE - set(keep)))
+
+
+def made() -> set[str]:
+    """The folders that this driver has made in the shared one and not yet removed."""
+    return set(_MADE)
+
+
 def site_time(ts: Column) -> Column:
     """Site time is text and compared as text."""
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")

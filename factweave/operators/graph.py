@@ -22,7 +22,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         ends = F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("p")), F.struct(F.col("b").alias("id"), F.col("a").alias("p")))
         hook = written(left.select(F.inline(ends)).groupBy("id").agg(F.least("id", F.min("p")).alias("p")), name)
         while True:
-            end = hook.select(F.col("id").alias("p"), F.col("p").alias("q"))
+            # Only pointers that are followed are asked; of a large star, that is one row, which no hub's rows have to be dealt out for.
+            end = hook.select(F.col("id").alias("p"), F.col("p").alias("q")).join(hook.select("p").distinct(), "p", "left_semi")
             hook = written(hook.join(end, "p").select("id", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")), name)
             if hook.where("moved").isEmpty():
                 break
