@@ -12,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.shared import scratch, written
+from ..functions.shared import remove, scratch, stored, written
 from ..operators.graph import components
 
-__all__ = ["components", "count_words", "give_back", "groups", "let", "meet", "mix", "pieces", "scratch", "small_batches", "table", "tidy", "utf8", "word_hashes", "word_spans", "words", "written"]
+__all__ = ["components", "count_words", "give_back", "groups", "let", "meet", "mix", "pieces", "remove", "scratch", "small_batches", "stored", "table", "tidy", "utf8", "word_hashes", "word_spans", "words", "written"]
 
 #: Separators of words: ASCII blank, tab, line feed, vertical tab, form feed, carriage return.
 WS = r"[\x20\x09-\x0D]+"
@@ -47,17 +47,17 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def meet(rows: DataFrame, keyed: DataFrame, on: str, how: str = "inner") -> DataFrame:
+def meet(rows: DataFrame, keyed: DataFrame, on: str) -> DataFrame:
     """``rows`` joined with ``keyed``, which has one row per value of ``on`` and in ``n`` how many of ``rows`` have it.
 
     A value is hot if it holds more than a quarter of a task's share of all rows. So hot values are at most a few
     per shuffle partition, whatever the input, and are broadcast; only the others are dealt out by their hash.
-    ``rows`` is read twice and should be a written table; ``how`` is inner or left.
+    ``rows`` is read twice and should be a written table.
     """
     share = max(1, rows.count() // (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     hot, cool = keyed.where(F.col("n") > share).drop("n"), keyed.where(F.col("n") <= share).drop("n")
-    rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(cool, on, how)
-    return rest.unionByName(rows.join(F.broadcast(hot), on).select(rest.columns))
+    rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(cool, on)
+    return rest.unionByName(rows.join(F.broadcast(hot), on))
 
 
 def count_words(text: Column) -> Column:

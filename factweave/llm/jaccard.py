@@ -8,7 +8,10 @@
 3. Inside a block, the counts of shingles in ``GROUPS`` hash groups are points in an R-tree. The overlap of
    two sets is at most the sum of the coordinates' minima, for a tree node of the minima with the largest
    counts below it. Pairs that survive the bound and aren't connected yet are verified on the sets themselves.
-4. Large blocks are cut into tiles by size; each pair of tiles whose sizes can match is a task of its own.
+4. Large blocks are cut into tiles by a hash, so that no task holds or sorts a block. First every tile is searched
+   by itself; then one class of each component that a tile has found is compared with those of other tiles;
+   and only what these two rounds leave apart is compared between tiles, pair by pair of tiles. A family of near copies is
+   one component after the first rounds, however large it is, and costs no pairs of tiles.
    Tasks emit a spanning forest of links, never all pairs, and the forests' components are the result.
 
 No step drops a candidate: group names, bounds and tiles only skip pairs that cannot reach the threshold
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, groups, mix, pieces, small_batches, tidy, utf8, word_hashes, written
+from .common import components, groups, meet, mix, pieces, remove, scratch, small_batches, stored, tidy, utf8, word_hashes, written
 
 SHINGLE = 5
 #: Shingles of a tile; a smaller document counts as LEAST.
@@ -170,29 +173,28 @@ class CountTree:
         return self.order[at]
 
 
-def forest(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Links that connect what is linked. Only pairs across are looked at if ``side`` has two values."""
+def forest(ids: np.ndarray, sets: list[np.ndarray], roots: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Links that connect what is linked; rows with one root are connected already."""
     counts = np.zeros((len(sets), GROUPS), np.int32)
     for k, s in enumerate(sets):
         counts[k] = _counts(s, GROUPS)
     sizes = np.array([len(s) for s in sets])
     tree = CountTree(counts, sizes, num, den)
-    across = side.min() != side.max()
-    vertex, label = np.unique(ids, return_inverse=True)
-    label = label.copy()
+    label = np.unique(roots, return_inverse=True)[1].copy()
+    left = len(np.unique(label))
     out = []
     for q in range(len(sets)):
+        if left == 1:
+            break
         near = tree.search(counts[q], int(sizes[q]))
-        near = near[(near > q) & (label[near] != label[q])]
-        if across:
-            near = near[side[near] != side[q]]
-        for k in near.tolist():
+        for k in near[label[near] != label[q]].tolist():
             if label[k] == label[q]:
                 continue
             shared = len(np.intersect1d(sets[q], sets[k], assume_unique=True))
             if den * shared >= num * (len(sets[q]) + len(sets[k]) - shared):
                 out.append((int(ids[q]), int(ids[k])))
                 label[label == label[k]] = label[q]
+                left -= 1
     return out
 
 
@@ -201,11 +203,6 @@ def _meetings(num: int, den: int):
 
     Takes names of at most ``MEET`` classes. A count of 255 stands for any larger one, so such counts bound nothing.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def batch_of(out: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=schema)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
         for _, rows in groups(batches, ["name"]):
@@ -223,73 +220,143 @@ def _meetings(num: int, den: int):
                             out.append((int(ids[q]), int(ids[k])))
                             label[label == label[k]] = label[q]
             if len(out) >= 10_000:
-                yield batch_of(out)
+                yield _batch(out)
                 out = []
         if out:
-            yield batch_of(out)
+            yield _batch(out)
 
     return run
 
 
-def _links(num: int, den: int, size: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], schema=_LINKS)
 
+
+def _links(num: int, den: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int]] = []
-        for _, rows in groups(batches, ["block", "i", "j"]):
-            ids, side = rows.column("doc_id").to_numpy(), rows.column("tile").to_numpy()
+        for _, rows in groups(batches, ["task"]):
+            ids, roots, want = (rows.column(k).to_numpy() for k in ("doc_id", "root", "n_shingles"))
             sets = []
             for text in rows.column("text").chunks:  # as they came, without a copy of the group's texts
                 raw, offsets = utf8(text)
                 sets += [s for i, j in pieces(offsets) for s in shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)]
             rows = text = raw = None  # the sets are all that the rest needs
-            some = [k for k, s in enumerate(sets) if len(s)]
+            # Rows that share an id meet every text of it, and keep those of their own size.
+            some = [k for k, s in enumerate(sets) if len(s) and len(s) == want[k]]
             if len(some) > 1:
-                held += forest(ids[some], [sets[k] for k in some], side[some], num, den)
+                held += forest(ids[some], [sets[k] for k in some], roots[some], num, den)
             if len(held) >= 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*held, strict=True)], schema=schema)
+                yield _batch(held)
                 held = []
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*held, strict=True)], schema=schema)
+            yield _batch(held)
 
     return run
 
 
-def join(docs: DataFrame, percent: int = 80, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id per row of ``docs``: linked at ``percent`` of shingles of ``size`` words."""
-    num, den = percent, 100
-    docs = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    every = written(docs.mapInArrow(tidy(_signatures(num, den, size)), "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, names array<bigint>, sketch binary"), "signatures")
-    some = every.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    same = ["n_shingles", "s1", "s2"]
-    classes = some.groupBy(*same).agg(F.min(F.struct("doc_id", "names", "sketch")).alias("x")).select(*same, F.col("x.doc_id").alias("rep"), "x.names", "x.sketch")
+def _tiled(rows: DataFrame) -> DataFrame:
+    """``rows(block, part, doc_id, n_shingles, root)`` dealt into ``tile``s of about ``TILE`` shingles, by a hash inside each part of a block.
+
+    Written; a part that needs one tile has the tile 0.
+    """
+    rows = written(rows.withColumns({"weight": F.greatest("n_shingles", F.lit(LEAST)), "place": F.xxhash64("block", "part")}), "members")
+    sums = rows.groupBy("place").agg(F.sum("weight").alias("total"), F.count("*").alias("n"))
+    many = F.ceil(F.col("total") / TILE)
+    return written(meet(rows, sums, "place").withColumn("tile", F.xxhash64("place", F.pmod(F.xxhash64("doc_id", "n_shingles"), many))).drop("place", "total"), "tiles")
+
+
+def _searched(tasks: DataFrame, docs: DataFrame, num: int, den: int, size: int) -> DataFrame:
+    """Links among the rows ``task, doc_id, n_shingles, root`` of each task."""
+    dealt = tasks.join(docs, "doc_id").select("task", "doc_id", "n_shingles", "root", "text")
+    return written(dealt.repartition("task").sortWithinPartitions("task").mapInArrow(tidy(_links(num, den, size)), "a bigint, b bigint"), "found")
+
+
+def _links_of_blocks(members: DataFrame, docs: DataFrame, num: int, den: int, size: int) -> DataFrame:
+    """Links a, b that connect what is linked inside the blocks of ``members(block, doc_id, n_shingles)``."""
+    weights = members.groupBy("block").agg(F.sum(F.greatest("n_shingles", F.lit(LEAST))).alias("total"), F.count("*").alias("n"))
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(1.5))
+    part = F.when(F.col("total") > TILE, band).otherwise(F.lit(-1)).cast("long").alias("part")
+    tiles = _tiled(meet(members, weights, "block").select("block", part, "doc_id", "n_shingles", F.col("doc_id").alias("root")))
+    links = _searched(tiles.withColumn("task", F.col("tile")), docs, num, den, size)
+    shared = tiles.where("part >= 0")
+    if shared.isEmpty():
+        return links
+
+    def rooted(rows: DataFrame, found: DataFrame) -> DataFrame:
+        joined = rows.drop("root").join(found.select(F.col("id").alias("doc_id"), "root"), "doc_id", "left")
+        return joined.withColumn("root", F.coalesce("root", "doc_id"))
+
+    known = written(rooted(shared, components(links, "links")), "rooted")
+    # One class of each component of a tile, the middle one by size, stands for it.
+    middle = known.groupBy("block", "tile", "root").agg(F.percentile_approx("n_shingles", 0.5, 100).alias("m"))
+    chosen = known.join(middle, ["block", "tile", "root"]).where("n_shingles = m").groupBy("block", "tile", "root").agg(F.min(F.struct("n_shingles", "doc_id")).alias("x"))
+    spokes = _tiled(chosen.select("block", F.lit(0).cast("long").alias("part"), "x.doc_id", "x.n_shingles", "root"))
+    links = links.unionByName(_searched(spokes.withColumn("task", F.col("tile")), docs, num, den, size))
+    known = written(rooted(shared, components(links, "links")), "rooted")
+    # A component that fills tiles gets its own; the others of a block share tiles by their sizes. No component lies in two blocks.
+    roots = known.groupBy("root").agg(F.sum("weight").alias("total"), F.count("*").alias("n"))
+    part = F.when(F.col("total") >= TILE, F.xxhash64("root")).otherwise(F.col("part")).alias("part")
+    tiles = _tiled(meet(known, roots, "root").select("block", part, "doc_id", "n_shingles", "root"))
+    ends = tiles.groupBy("block", "tile").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"), F.min("root").alias("r"), F.max("root").alias("s"))
+    ends = written(ends.withColumn("sole", F.when(F.col("r") == F.col("s"), F.col("r"))).drop("r", "s"), "tile-ends")
+    other = ends.select("block", F.col("tile").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"), F.col("sole").alias("sole_j"))
+    # Tiles meet where their sizes allow a link and where they aren't of one component.
+    apart_ = F.coalesce(F.col("sole") != F.col("sole_j"), F.lit(True))
+    tasks = ends.withColumnRenamed("tile", "i").join(other, "block").where(
+        (F.col("i") <= F.col("j")) & apart_ & (F.col("low") * num <= F.col("high_j") * den) & (F.col("low_j") * num <= F.col("high") * den)
+    ).select("block", F.xxhash64("i", "j").alias("task"), F.explode(F.array_distinct(F.array("i", "j"))).alias("tile"))
+    return links.unionByName(_searched(tiles.join(tasks, ["block", "tile"]), docs, num, den, size))
+
+
+def _ties(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs a, b of classes that share a name and whose count vectors allow a link: enough to connect all such."""
+    tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named = classes.select("rep", F.explode("names").alias("name"))
+    # Names that hold more than about a task's share of all are told by every 64th class, since all that hangs on it is where rows go.
+    # They are at most a few per task, and are counted and tied without being dealt out by their hash.
+    some = written(classes.where(F.pmod(F.xxhash64("rep"), F.lit(64)) == 0).select(F.explode("names").alias("name")).groupBy("name").agg(F.count("*").alias("n")).where("n > 1"), "names")
+    share = max(MEET // 64, (some.agg(F.sum("n")).first()[0] or 0) // (4 * tasks))
+    hot = some.where(F.col("n") > share).select("name")
+    counted = named.join(F.broadcast(hot), "name").groupBy("name").agg(F.count("*").alias("n"), F.min("rep").alias("first"))
+    counted = written(counted.where(F.col("n") > MEET), "hot-names")
+    tied = named.join(F.broadcast(counted), "name").select(F.col("first").alias("a"), F.col("rep").alias("b"))
     # Names of one class only are dropped before anything is sent along with them.
-    met = named.withColumns({"n": F.count("*").over(W.partitionBy("name")), "first": F.min("rep").over(W.partitionBy("name"))}).where("n > 1")
+    by_name = W.partitionBy("name")
+    met = named.join(F.broadcast(counted.select("name")), "name", "left_anti").withColumns({"n": F.count("*").over(by_name), "first": F.min("rep").over(by_name)}).where("n > 1")
     vectors = classes.select("rep", "n_shingles", "sketch")
     meetings = met.where(F.col("n") <= MEET).select("rep", "name").join(vectors, "rep").repartition("name").sortWithinPartitions("name", "n_shingles", "rep")
     # Classes of a longer name are tied together without being compared, which may only make a block larger.
-    tied = met.where((F.col("n") > MEET) & (F.col("first") != F.col("rep"))).select(F.col("first").alias("a"), F.col("rep").alias("b"))
-    stars = meetings.mapInArrow(tidy(_meetings(num, den)), "a bigint, b bigint").unionByName(tied)
-    blocks = components(stars, "blocks").select(F.col("id").alias("doc_id"), F.col("root").alias("block"))
-    # Only class representatives are compared; several classes may have the same one if rows share an id.
-    weight = F.greatest(F.max("n_shingles"), F.lit(LEAST)).alias("weight")
-    sized = some.select("doc_id", "n_shingles").join(blocks, "doc_id").groupBy("block", "doc_id").agg(weight)
-    before = F.coalesce(F.sum("weight").over(W.partitionBy("block").orderBy("weight", "doc_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = written(sized.withColumn("tile", F.floor(before / TILE).cast("int")), "tiles")
-    tiles = placed.groupBy("block", "tile").agg(F.min("weight").alias("low"), F.max("weight").alias("high"))
-    other = tiles.select("block", F.col("tile").alias("j"), F.col("low").alias("low_j"))
-    # Sizes rise with the tiles, so a later one matches if its smallest can match the largest of the earlier.
-    tasks = tiles.withColumnRenamed("tile", "i").join(other, "block").where(
-        (F.col("i") <= F.col("j")) & ((F.col("low_j") * num <= F.col("high") * den) | (F.col("i") == F.col("j")))
-    ).select("block", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile"))
-    dealt = placed.join(tasks, ["block", "tile"]).join(docs, "doc_id").select("block", "i", "j", "tile", "doc_id", "text")
-    links = dealt.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(tidy(_links(num, den, size)), "a bigint, b bigint")
-    members = written(every.select("doc_id", *same).join(classes.select(*same, "rep"), same, "left"), "members")
-    shared_ids = members.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
-    versions = members.join(shared_ids, "doc_id").select("a", F.col("rep").alias("b"))
-    found = components(links.unionByName(versions), "links").select(F.col("id").alias("rep"), "root")
-    return members.join(found, "rep", "left").select(
-        "doc_id", "n_shingles",
-        F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("root", "rep")).otherwise(F.col("doc_id")).alias("component_id"),
-    )
+    longer = met.where(F.col("n") > MEET).select(F.col("first").alias("a"), F.col("rep").alias("b"))
+    return meetings.mapInArrow(tidy(_meetings(num, den)), "a bigint, b bigint").unionByName(tied.unionByName(longer).where("a <> b"))
+
+
+def join(docs: DataFrame, percent: int = 80, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id per row of ``docs``: linked at ``percent`` of shingles of ``size`` words."""
+    spark, num, den = docs.sparkSession, percent, 100
+    docs = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    path, at = scratch(spark, "signatures"), scratch(spark, "classes")
+    every = stored(docs.mapInArrow(tidy(_signatures(num, den, size)), "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, names array<bigint>, sketch binary"), path)
+    linkable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    same = F.struct("n_shingles", "s1", "s2")
+    rows = written(every.select("doc_id", "n_shingles", F.when(linkable, same).alias("same")), "rows")
+    every = every.where(linkable).groupBy(same.alias("same")).agg(F.min(F.struct("doc_id", "names", "sketch")).alias("x"), F.count("*").alias("n"))
+    full = stored(every.select("same", "n", F.col("x.doc_id").alias("rep"), F.col("same.n_shingles").alias("n_shingles"), "x.names", "x.sketch"), at)
+    remove(spark, path)
+    classes = written(full.select("same", "n", "rep"), "classes")
+    blocks = components(_ties(full, num, den), "blocks").select(F.col("id").alias("doc_id"), F.col("root").alias("block"))
+    remove(spark, at)
+    # Only class representatives are compared, each class by its own size; several classes may have the same one if rows share an id.
+    some = rows.where("same IS NOT NULL")
+    members = some.select("doc_id", "n_shingles").join(blocks, "doc_id").select("block", "doc_id", "n_shingles").distinct()
+    links = _links_of_blocks(written(members, "in-blocks"), docs, num, den, size)
+    # Rows that share an id are one document.
+    several = some.groupBy("doc_id").agg(F.min("same").alias("low"), F.max("same").alias("high")).where("low <> high").select("doc_id")
+    reps = some.join(several, "doc_id").select("doc_id", "same").join(classes, "same").withColumn("first", F.min("rep").over(W.partitionBy("doc_id")))
+    found = components(links.unionByName(reps.select(F.col("first").alias("a"), F.col("rep").alias("b"))), "links").select(F.col("id").alias("rep"), "root")
+    rooted = written(classes.join(found, "rep", "left").select("same", "n", F.coalesce("root", "rep").alias("component_id")), "roots")
+    alone = rows.where("same IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return meet(some, rooted, "same").select(*alone.columns).unionByName(alone)

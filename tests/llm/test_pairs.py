@@ -71,6 +71,34 @@ def test_join_in_many_tiles(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_join_of_ids_shared_by_texts_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE", 500)
+    monkeypatch.setattr(jaccard, "LEAST", 40)
+    rng = random.Random(6)
+    ws = lambda n: [f"u{rng.randint(0, 10**6)}" for _ in range(n)]
+    long, short = ws(1000), ws(60)
+    rows = [(1, " ".join(long)), (1, " ".join(short)), (2, " ".join([*long, "z"])), (3, " ".join([*short, "z"]))]
+    rows += [(10 + k, " ".join([*short[:k % 3], *short[1:], f"y{k}"])) for k in range(40)] + [(1, " ".join(ws(60))), (7, " ".join(ws(61)))]
+    got = run(spark, rows)
+    assert got == brute(rows) and {c for i, _, c in got if i < 50 and i != 7} == {1}
+
+
+def test_join_of_a_family_over_many_tiles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE", 600)
+    monkeypatch.setattr(jaccard, "LEAST", 40)
+    rng = random.Random(9)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
+    rows = []
+    for k in range(150):  # copies drift, so that ends of the family are linked by others only
+        at = rng.randrange(len(base))
+        base = [*base[:at], f"x{k}", *base[at + 1 :]]
+        rows.append((k, " ".join(base)))
+    rows += [(500 + k, " ".join(f"v{rng.randint(0, 10**6)}" for _ in range(100 + k))) for k in range(20)]
+    for meet, percent, size in ((2, 90, 3), (1024, 80, 5)):
+        monkeypatch.setattr(jaccard, "MEET", meet)
+        assert run(spark, rows, percent, size) == brute(rows, percent, size)
+
+
 def test_join_ties_classes_of_common_names(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "MEET", 3)
     rows = near_copies(5)
