@@ -23,14 +23,16 @@ columns are ignored, whatever their names. Texts are handled whole, one row at a
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Mapping
+import re
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import suppress
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import groups, small_batches, written
 
 #: Argument schemas by tool name; a tool that isn't here takes any object.
 SCHEMAS: Mapping[str, Mapping[str, Any]] = {
@@ -40,18 +42,42 @@ SCHEMAS: Mapping[str, Mapping[str, Any]] = {
 _KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
+def whole(text: str) -> str:
+    """``text`` with halves of surrogate pairs, which UTF-8 cannot hold, as JSON escapes."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value: Any) -> str:
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    return whole(json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False))
+
+
+def loads(text: str) -> Any:
+    """A JSON value; ValueError for what isn't one, NaN and Infinity included, or is nested too deeply."""
+
+    def refuse(name: str) -> None:
+        raise ValueError(name)
+
+    try:
+        return json.loads(text, parse_constant=refuse)
+    except RecursionError as e:
+        raise ValueError("too deep") from e
+
+
+def is_kind(value: Any, kind: str) -> bool:
+    """Whether a value is of a JSON schema's type; an unknown type holds for everything."""
+    if kind in ("number", "integer"):
+        number = isinstance(value, (int, float)) and not isinstance(value, bool)
+        return number and (kind == "number" or isinstance(value, int) or value.is_integer())
+    return isinstance(value, _KINDS.get(kind, object))
 
 
 def failures(value: Any, schema: Mapping[str, Any], at: str = "") -> list[str]:
-    """What in ``value`` doesn't follow the schema: type, enum, required, properties, additionalProperties, items."""
-    kind = schema.get("type")
-    number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    fits = kind is None or (number and (kind == "number" or isinstance(value, int)) if kind in ("number", "integer") else isinstance(value, _KINDS[kind]))
-    if not fits:
-        return [f"{at or '/'}: not {kind}"]
-    out = [] if "enum" not in schema or value in schema["enum"] else [f"{at or '/'}: not in enum"]
+    """What in ``value`` doesn't follow the schema: type (one or a list), enum, required, properties, additionalProperties, items."""
+    kinds = schema.get("type")
+    if kinds is not None and not any(is_kind(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
+        return [f"{at or '/'}: not {kinds if isinstance(kinds, str) else ' or '.join(kinds)}"]
+    same = lambda x: isinstance(x, bool) == isinstance(value, bool) and x == value
+    out = [] if "enum" not in schema or any(map(same, schema["enum"])) else [f"{at or '/'}: not in enum"]
     if isinstance(value, dict):
         known = schema.get("properties", {})
         out += [f"{at}/{k}: missing" for k in schema.get("required", ()) if k not in value]
@@ -74,33 +100,72 @@ def parse(role: str | None, text: str, schemas: Mapping[str, Mapping[str, Any]])
     """What a message that may hold a call or a result says."""
     plain = {"calls": None, "errors": None, "result_of": None, "json": canonical({"role": role, "content": text})}
     try:
-        said = json.loads(text)
+        return plain | spoken_of(role, loads(text), schemas)
     except (ValueError, RecursionError):
         return plain
+
+
+def spoken_of(role: str | None, said: Any, schemas: Mapping[str, Mapping[str, Any]]) -> dict[str, Any]:
+    """The result or the calls in a JSON value; nothing if it is no such object."""
     if not isinstance(said, dict):
-        return plain
+        return {}
     if role == "tool" and isinstance(said.get("tool_call_id"), str):
-        return plain | {"result_of": said["tool_call_id"], "json": canonical({"role": role, "tool_call_id": said["tool_call_id"], "content": said.get("content")})}
+        return {"result_of": whole(said["tool_call_id"]), "json": canonical({"role": role, "tool_call_id": said["tool_call_id"], "content": said.get("content")})}
     calls = said.get("tool_calls")
     if role != "assistant" or not isinstance(calls, list) or not calls or not all(isinstance(c, dict) and isinstance(c.get("id"), str) and isinstance(c.get("name"), str) for c in calls):
-        return plain
+        return {}
     errors, made, links = [], [], []
     for k, c in enumerate(calls):
         arguments = c.get("arguments", {})
         if isinstance(arguments, str):
-            try:
-                arguments = json.loads(arguments)
-            except ValueError:
-                pass
-        errors += [f"{c['id']}: {e}" for e in failures(arguments, schemas.get(c["name"], {"type": "object"}))]
+            with suppress(ValueError):
+                arguments = loads(arguments)
+        errors += [whole(f"{c['id']}: {e}") for e in failures(arguments, schemas.get(c["name"], {"type": "object"}))]
         made.append({"id": c["id"], "name": c["name"], "arguments": arguments})
         needs = c.get("depends_on")
-        links.append({"id": c["id"], "index": k, "needs": sorted({n for n in needs if isinstance(n, str)}) if isinstance(needs, list) else []})
-    return {"calls": links, "errors": errors, "result_of": None, "json": canonical({"role": role, "content": said.get("content"), "tool_calls": made})}
+        links.append({"id": whole(c["id"]), "index": k, "needs": sorted({whole(n) for n in needs if isinstance(n, str)}) if isinstance(needs, list) else []})
+    return {"calls": links, "errors": errors, "json": canonical({"role": role, "content": said.get("content"), "tool_calls": made})}
+
+
+#: Calls of a conversation that a task levels by itself; longer ones are levelled in rounds over all tasks.
+HELD = 20_000
+_LEVELS = pa.schema([("conv", pa.string()), ("id", pa.string()), ("level", pa.int32())])
+
+
+def ordered(needs: Mapping[str, Sequence[str]]) -> dict[str, int]:
+    """Levels of the calls of one conversation: 1 without needs, else one more than the highest of them, -1 if that cannot be told."""
+    level = {i: 1 for i, n in needs.items() if not n}
+    missing = {i: len(n) for i, n in needs.items() if n}
+    waiting: dict[str, list[str]] = {}
+    for i, n in needs.items():
+        for x in n:
+            waiting.setdefault(x, []).append(i)
+    ready = list(level)
+    for x in ready:  # grows while it is walked
+        for i in waiting.get(x, ()):
+            missing[i] -= 1
+            if not missing[i]:
+                level[i] = 1 + max(level[y] for y in needs[i])
+                ready.append(i)
+    return {i: level.get(i, -1) for i in needs}
+
+
+def levels(calls: DataFrame, held: int = HELD) -> DataFrame:
+    """``conv, id, level`` of the calls ``conv, id, needs``: by topological order, one pass over each conversation."""
+    sized = written(calls.join(calls.groupBy("conv").agg(F.count("*").alias("n")), "conv"), "calls")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (conv,), rows in groups(batches, ["conv"]):
+            found = ordered(dict(zip(rows.column("id").to_pylist(), rows.column("needs").to_pylist(), strict=True)))
+            yield pa.RecordBatch.from_pydict({"conv": [conv] * len(found), "id": list(found), "level": list(found.values())}, _LEVELS)
+
+    short = sized.where(F.col("n") <= held).repartition("conv").sortWithinPartitions("conv", "id").mapInArrow(run, "conv string, id string, level int")
+    long = sized.where(F.col("n") > held).drop("n")
+    return short if long.isEmpty() else short.unionByName(rounds(long))
 
 
-def levels(calls: DataFrame) -> DataFrame:
-    """``conv, id, level`` of the calls ``conv, id, needs``, as many rounds as the longest chain of dependencies."""
+def rounds(calls: DataFrame) -> DataFrame:
+    """``levels`` by as many rounds as the longest chain of dependencies: for conversations that no task should hold."""
     done = written(calls.where(F.size("needs") == 0).select("conv", "id", F.lit(1).alias("level")), "levels")
     left = written(calls.where(F.size("needs") > 0), "levels")
     level = 1
