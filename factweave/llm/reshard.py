@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import scratch, written
 
-BLOCKS = 4096
+#: Rows that share a block of an old shard's order, on average: a block is sorted within one task.
+PER_BLOCK = 4096
 
 
 def min_cost_flow(supply: Sequence[int], capacity: Sequence[int]) -> dict[tuple[int, int], int]:
@@ -73,18 +74,18 @@ def equal_capacities(total: int, n: int) -> list[int]:
     return [total // n + (j < total % n) for j in range(n)]
 
 
-def positions(rows: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """Adds ``at``, the bytes, and ``nth``, the rows before each row in its old shard's order."""
-    blocked = rows.withColumn("block", F.pmod(F.xxhash64(*ids), F.lit(BLOCKS)).cast("int"))
+def positions(rows: DataFrame, ids: Sequence[str], blocks: int) -> DataFrame:
+    """Adds ``at``, the bytes, and ``nth``, the rows before each row in its old shard's order, over so many ``blocks``."""
+    blocked = rows.withColumn("block", F.pmod(F.xxhash64(*ids), F.lit(blocks)).cast("long"))
     ahead = W.partitionBy("old_shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = blocked.groupBy("old_shard", "block").agg(F.sum("size").alias("b"), F.count("*").alias("c")).select(
+    before = blocked.groupBy("old_shard", "block").agg(F.sum("size").alias("b"), F.count("*").alias("c")).select(
         F.col("old_shard").alias("o"), F.col("block").alias("k"),
         F.coalesce(F.sum("b").over(ahead), F.lit(0)).alias("bytes_before"), F.coalesce(F.sum("c").over(ahead), F.lit(0)).alias("rows_before"),
     )
-    inside = W.partitionBy("old_shard", "block").orderBy(*ids, "text_crc32", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("old_shard", "block").orderBy(*ids, "size").rowsBetween(W.unboundedPreceding, -1)
     return (
         blocked.withColumns({"at": F.coalesce(F.sum("size").over(inside), F.lit(0)), "nth": F.count("*").over(inside)})
-        .join(blocks, (F.col("old_shard") == F.col("o")) & (F.col("block") == F.col("k")))
+        .join(before, (F.col("old_shard") == F.col("o")) & (F.col("block") == F.col("k")))
         .withColumns({"at": F.col("at") + F.col("bytes_before"), "nth": F.col("nth") + F.col("rows_before")})
         .drop("o", "k", "bytes_before", "rows_before")
     )
@@ -113,8 +114,11 @@ def reshard(docs: DataFrame, old_shard: Column, old: int, new: int, out: str | N
     rows = docs.select(
         id_col, text_col, *keep, (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), old_shard.cast("int").alias("old_shard"),
     )
-    narrow = written(positions(rows.drop(text_col, *keep), [id_col]), "reshard")
-    sizes = {r[0]: r[1] for r in narrow.groupBy("old_shard").agg(F.sum("size")).collect()}  # one row per old shard
+    # As many blocks as rows ask for. Equal ids share a block, so the text's checksum deals them out, too.
+    order = [id_col, "text_crc32"]
+    found = {r[0]: (r[1], r[2]) for r in rows.groupBy("old_shard").agg(F.sum("size"), F.count("*")).collect()}  # one row per old shard
+    sizes, blocks = {k: v[0] for k, v in found.items()}, 1 + max((v[1] for v in found.values()), default=0) // PER_BLOCK
+    narrow = written(positions(rows.drop(text_col, *keep), order, blocks), "reshard")
     supply = [sizes.get(i, 0) for i in range(old)]
     flow = min_cost_flow(supply, equal_capacities(sum(supply), new))
     cuts = stretches(flow, old)
@@ -138,10 +142,10 @@ def reshard(docs: DataFrame, old_shard: Column, old: int, new: int, out: str | N
 
     if out is None:
         return numbered(narrow)
-    losing = [i for i in range(old) if any(a == i and j != i for a, j in flow)]
-    moved = (F.col("shard") != F.col("old_shard")) | F.col("old_shard").isin(losing)
-    full = numbered(positions(rows, [id_col]))
-    full.where(moved).write.partitionBy("shard").parquet(out)
+    # Rows leave losing shards only, whose files are rewritten; of all other shards no text is read or sent.
+    moved = F.col("old_shard").isin([i for i in range(old) if any(a == i and j != i for a, j in flow)])
+    full = numbered(positions(rows.where(moved), order, blocks))
+    full.write.partitionBy("shard").parquet(out)
     again = docs.sparkSession.read.schema(full.schema).parquet(out).select(id_col, "size", "text_crc32", "old_shard", "shard", "slot")
     return again.unionByName(numbered(narrow).where(~moved).select(*again.columns))
 
