@@ -8,7 +8,9 @@ The task that writes an archive yields its index rows, and Spark commits these r
 names, so what a lost or repeated attempt has written is named by no index row and is never read.
 Archives go to any store that pyarrow's file systems reach; the path must be one that all executors share.
 
-Defined results: a null payload is empty; a null URL is written as an empty target URI and read as null;
+Defined results: a null payload is empty; a null or empty URL is written as an empty target URI and read as null;
+a run of line breaks in a URL is written as %0A and read as such; the digest of a payload that is read is made anew, and
+``intact`` says whether it is the recorded one (null for a revisit, which has no payload);
 equal payloads of at least ``min_revisit_bytes`` bytes have one response, that of the largest id, and
 revisits that refer to it (rows that share this id and the payload are all responses, null ids are revisits
 if another id has the payload); payloads may hold any bytes, blank lines and WARC headers included,
@@ -18,7 +20,9 @@ A record is held whole by the task that writes or reads it.
 
 from __future__ import annotations
 
+import base64
 import gzip
+import hashlib
 import re
 import uuid
 from collections.abc import Iterator
@@ -39,7 +43,7 @@ END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 
 INDEX = "record_id bigint, url string, record_type string, payload_digest string, payload_bytes bigint, refers_to bigint, file string, offset bigint, length bigint"
-RECORD = "record_id bigint, url string, record_type string, payload_digest string, payload_bytes bigint, refers_to bigint, payload binary"
+RECORD = "record_id bigint, url string, record_type string, payload_digest string, payload_bytes bigint, refers_to bigint, payload binary, intact boolean"
 
 
 def base32_sha1(data: Column) -> Column:
@@ -128,21 +132,26 @@ def parse(data: bytes) -> dict:
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(END.encode())
     number = lambda s: int(s[len("<urn:x-record:") : -1]) if s and s != "<urn:x-record:none>" else None
+    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     return {
         "record_id": number(fields["WARC-Record-ID"]), "url": fields["WARC-Target-URI"] or None, "record_type": fields["WARC-Type"],
         "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"), "refers_to": number(fields.get("WARC-Refers-To")),
         "payload_bytes": int(re.search(rb"Content-Length: (\d+)", http)[1]), "payload": payload,
+        "intact": None if fields["WARC-Type"] == "revisit" else fields["WARC-Payload-Digest"] == f"sha1:{digest}",
     }
 
 
-def read(selected: DataFrame, path: str, gap: int = 65536, most: int = 8 << 20) -> DataFrame:
+def read(selected: DataFrame, path: str, gap: int = 65536, most: int = 1 << 20) -> DataFrame:
     """The records of the given index rows, by coalesced byte ranges.
 
-    Neighbours at most ``gap`` bytes apart are read at once, in reads of about ``most`` bytes. Index rows
-    are dealt out by file and stretch, so that a large archive is read by many tasks. A revisit's payload is empty.
+    Neighbours at most ``gap`` bytes apart are read at once, in reads of about ``most`` bytes. Index rows are dealt out
+    by file and stretch, so that a large archive is read by many tasks: as many as there are shuffle partitions, fewer if
+    that leaves less than ``most`` bytes to one, more if it leaves over 64 times as many. A revisit's payload is empty.
     """
+    total = selected.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, min(int(selected.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // most)), -(-total // (64 * most)))
     wanted = small_batches(selected).select("file", F.floor(F.col("offset") / most).alias("stretch"), "offset", "length")
-    placed = wanted.repartition("file", "stretch").sortWithinPartitions("file", "offset")
+    placed = wanted.repartition(tasks, "file", "stretch").sortWithinPartitions("file", "offset")
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, int, int]]]:
         run: list[tuple[str, int, int]] = []
@@ -156,7 +165,7 @@ def read(selected: DataFrame, path: str, gap: int = 65536, most: int = 8 << 20)
             yield run
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([*(_INDEX.field(k) for k in ("record_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to")), ("payload", pa.binary())])
+        schema = pa.schema([*(_INDEX.field(k) for k in ("record_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to")), ("payload", pa.binary()), ("intact", pa.bool_())])
         store, top = store_of(f"{path}/records")
         now, source = None, None
         for run in ranges(batches):
