@@ -9,14 +9,16 @@ encoding is the only path of weight 0. That is what the scan works on:
 
 1. A boundary state is the last piece that ends at or before a cut. Each chunk yields its transfer matrix
    from the states of its left cut to those of its right cut, kept as the pairs of weight 0.
-2. Matrices are combined by the max-plus product, which is associative: neighbours are joined two by two
-   until one is left, and going back down gives the state at every cut.
+2. Matrices are combined by the max-plus product, which is associative: runs of ``FAN`` neighbours are joined, level
+   by level and each run by a task of its own, until one is left; going back down gives the state at every cut.
 3. With the states at both ends, every chunk is backtraced by itself.
 
 Defined results: a null text has null ids, an empty text none; characters that the model lacks become
 bytes, as in the library; equal texts have equal ids; an empty table gives an empty result; extra columns
 are carried, whatever their names, but for those made here (``ids``, ``n_ids``, ``decoded``).
-The model file is a parameter and must be at the same path on every executor.
+The model file is a parameter and must be at the same path on every executor. A document whose matrices leave no path
+or several, as those of a model that isn't pair-merging or that changes the text first may do, goes to the library whole; a
+model for which the scan differs from the library on a probe is refused for giants, which then all go to the library.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from .common import small_batches, tidy, written
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk, and of a document that is scanned in chunks.
 CHUNK, GIANT = 16384, 65536
+#: Neighbouring matrices that one task joins.
+FAN = 32
 #: Pairs of pieces whose fit is remembered, at some 200 bytes each.
 KNOWN = 250_000
 BLANK = "▁"
@@ -143,28 +147,35 @@ def product(a: Sequence[tuple[State, State]], b: Sequence[tuple[State, State]])
     return list(dict.fromkeys((s, u) for s, t in a for u in onward.get(t, ())))
 
 
-def cuts(matrices: Sequence[Sequence[tuple[State, State]]]) -> list[State]:
-    """The state at every cut, from a tree of products and a walk back down."""
-    levels = [list(matrices)]
-    while len(levels[-1]) > 1:
-        row = levels[-1]
-        levels.append([product(row[k], row[k + 1]) if k + 1 < len(row) else row[k] for k in range(0, len(row), 2)])
-    start = (0, "")
-    ends = [t for s, t in levels[-1][0] if s == start and t[0] == 0]
-    if len(ends) != 1:
-        raise ValueError(f"{len(ends)} encodings")
-    spans = [(start, ends[0])]
-    for row in reversed(levels[:-1]):
-        below = []
-        for k, (s, u) in enumerate(spans):
-            if 2 * k + 1 == len(row):
-                below.append((s, u))
-                continue
-            firsts, seconds = {t for x, t in row[2 * k] if x == s}, {t for t, x in row[2 * k + 1] if x == u}
-            (t,) = firsts & seconds
-            below += [(s, t), (t, u)]
-        spans = below
-    return [start, *(u for _, u in spans)]
+START: State = (0, "")
+
+
+def through(matrices: Sequence[Sequence[tuple[State, State]]], enter: State, leave: State) -> list[State] | None:
+    """The states at the cuts between neighbouring matrices on the path from ``enter`` to ``leave``, both included; None unless there is one such path."""
+    reached = [{enter}]
+    for m in matrices:
+        reached.append({t for s, t in m if s in reached[-1]})
+    out = [leave]
+    for k in range(len(matrices) - 1, -1, -1):
+        before = {s for s, t in matrices[k] if t == out[-1] and s in reached[k]}
+        if len(before) != 1:
+            return None
+        out.append(before.pop())
+    return out[::-1] if leave in reached[-1] else None
+
+
+def end_of(matrix: Sequence[tuple[State, State]]) -> State | None:
+    """Where the whole text's only path ends; None if there is none or several."""
+    ends = {t for s, t in matrix if s == START and t[0] == 0}
+    return ends.pop() if len(ends) == 1 else None
+
+
+def joined(matrices: Sequence[Sequence[tuple[State, State]]]) -> list[tuple[State, State]]:
+    """The product of neighbours, two by two."""
+    row = [list(m) for m in matrices]
+    while len(row) > 1:
+        row = [product(row[k], row[k + 1]) if k + 1 < len(row) else row[k] for k in range(0, len(row), 2)]
+    return row[0]
 
 
 def backtrace(p: Pieces, context: str, chunk: str, entry: State, leave: State) -> list[str]:
@@ -198,7 +209,11 @@ def scan(text: str, path: str = MODEL, size: int = CHUNK) -> list[int]:
     parts = list(split(escaped(text), size, p.longest))
     if not text:
         return []
-    at = cuts([transfer(p, c, t, last) for _, c, t, last in parts])
+    matrices = [transfer(p, c, t, last) for _, c, t, last in parts]
+    end = end_of(joined(matrices))
+    at = through(matrices, START, end) if end else None
+    if at is None:
+        raise ValueError("not one path")
     return [i for (_, c, t, _), s, u in zip(parts, at, at[1:], strict=False) for i in p.to_ids(backtrace(p, c, t, s, u))]
 
 
@@ -242,10 +257,46 @@ def _schema_of_matrix() -> pa.Schema:
     return pa.schema([("key", pa.string()), ("k", pa.int32()), ("matrix", pa.list_(cell))])
 
 
-def _solve(key, pdf):
-    rows = [[((m["a"], m["p"]), (m["b"], m["q"])) for m in x] for x in pdf.sort_values("k")["matrix"]]
-    at = cuts(rows)
-    return pd.DataFrame({"key": key[0], "k": range(len(rows)), "a": [s[0] for s in at[:-1]], "p": [s[1] for s in at[:-1]], "b": [s[0] for s in at[1:]], "q": [s[1] for s in at[1:]]})
+def _matrices(column: Sequence) -> list[list[tuple[State, State]]]:
+    return [[((m["a"], m["p"]), (m["b"], m["q"])) for m in x] for x in column]
+
+
+def _join_run(key, pdf):
+    product_ = joined(_matrices(pdf.sort_values("k")["matrix"]))
+    return pd.DataFrame({"key": [key[0]], "k": [key[1]], "matrix": [[{"a": s[0], "p": s[1], "b": t[0], "q": t[1]} for s, t in product_]]})
+
+
+def _open_run(key, pdf):
+    """The states at the cuts inside a run, from those at its ends; no rows if they aren't the only ones."""
+    pdf = pdf.sort_values("k")
+    first = pdf.iloc[0]
+    at = through(_matrices(pdf["matrix"]), (int(first["a"]), first["p"]), (int(first["b"]), first["q"]))
+    at, ks = at or [], pdf["k"] if at else []
+    return pd.DataFrame({"key": key[0], "k": list(ks), "a": [s[0] for s in at[:-1]], "p": [s[1] for s in at[:-1]], "b": [s[0] for s in at[1:]], "q": [s[1] for s in at[1:]]})
+
+
+_STATES = "key string, k int, a int, p string, b int, q string"
+
+
+def boundary_states(matrices: DataFrame, fan: int = FAN) -> DataFrame:
+    """``key, k, a, p, b, q``: the states at both ends of each chunk of ``key, k, matrix``, for texts with one path.
+
+    Matrices are joined up in levels of ``fan``, as many as the longest text needs, and the states walk back down the same levels.
+    A matrix has a few dozen cells however long the text below it is, so no task holds more than ``fan`` of them at once.
+    """
+    run = F.floor(F.col("k") / fan).cast("int")
+    rows = [matrices]
+    most = matrices.agg(F.max("k")).first()[0] or 0
+    while most > 0:
+        rows.append(written(rows[-1].groupBy("key", run.alias("run")).applyInPandas(_join_run, f"key string, k int, matrix {_MATRIX}"), "products"))
+        most //= fan
+    start = F.lit(START[0]).alias("a"), F.lit(START[1]).alias("p")
+    ends = F.array_distinct(F.transform(F.filter("matrix", lambda m: (m["a"] == START[0]) & (m["p"] == START[1]) & (m["b"] == 0)), lambda m: F.struct(m["b"].alias("b"), m["q"].alias("q"))))
+    at = rows[-1].withColumn("ends", ends).where(F.size("ends") == 1).select("key", "k", *start, F.col("ends")[0]["b"].alias("b"), F.col("ends")[0]["q"].alias("q"))
+    for level in reversed(rows[:-1]):
+        below = level.withColumn("run", run).join(at.withColumnRenamed("k", "run"), ["key", "run"])
+        at = written(below.groupBy("key", "run").applyInPandas(_open_run, _STATES), "states")
+    return at
 
 
 def _backtraces(path: str):
@@ -260,7 +311,7 @@ def _backtraces(path: str):
     return run
 
 
-def giant_ids(texts: DataFrame, path: str, chunk: int) -> DataFrame:
+def giant_ids(texts: DataFrame, path: str, chunk: int, fan: int = FAN) -> DataFrame:
     """``key, ids`` of the distinct giant texts ``key, text``, by the scan over their chunks."""
     longest = load(path).longest
 
@@ -275,27 +326,42 @@ def giant_ids(texts: DataFrame, path: str, chunk: int) -> DataFrame:
     parts = written(texts.mapInArrow(tidy(cut), "key string, k int, context string, chunk string, last boolean").repartition("key", "k"), "chunks")
     # Chunks are few bytes and much work: as many tasks as there are shuffle partitions, however small they are.
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    matrices = parts.repartition(tasks, "key", "k").mapInArrow(tidy(_transfers(path)), f"key string, k int, matrix {_MATRIX}")
-    # A matrix has a few dozen cells however long its chunk is.
-    at = matrices.groupBy("key").applyInPandas(_solve, "key string, k int, a int, p string, b int, q string")
+    matrices = written(parts.repartition(tasks, "key", "k").mapInArrow(tidy(_transfers(path)), f"key string, k int, matrix {_MATRIX}"), "matrices")
+    at = boundary_states(matrices, fan)
     traced = parts.join(at, ["key", "k"]).repartition(tasks, "key", "k").mapInArrow(tidy(_backtraces(path)), "key string, k int, part array<int>")
     ordered = traced.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", "part"))).alias("parts"))
     return ordered.select("key", F.flatten("parts.part").alias("ids"))
 
 
-def encode(docs: DataFrame, path: str = MODEL, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, path: str = MODEL, giant: int = GIANT, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """``docs`` with ids, n_ids and decoded: whether decoding the ids gives the text again."""
     made = ("ids", "n_ids", "decoded")
     docs = small_batches(docs).select(*[c for c in docs.columns if c not in made])
-    big = F.length("text") > giant
+    big = F.length("text") > giant if scans(path) else F.lit(False)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     schema = f"{fields}, ids array<int>, n_ids int, decoded boolean"
     small = docs.where(~F.coalesce(big, F.lit(False))).mapInArrow(tidy(_whole(path)), schema)
     large = docs.where(big).withColumn("__key", F.sha2("text", 256))
-    found = giant_ids(large.select(F.col("__key").alias("key"), "text").dropDuplicates(["key"]), path, chunk)
+    found = written(giant_ids(large.select(F.col("__key").alias("key"), "text").dropDuplicates(["key"]), path, chunk, fan), "giants")
+    joined_ = large.join(found.withColumnRenamed("key", "__found"), F.col("__key") == F.col("__found"), "left")
     decode = decoder(path)
-    joined = large.join(found.withColumnRenamed("key", "__found"), F.col("__key") == F.col("__found")).drop("__key", "__found").withColumn("n_ids", F.size("ids")).withColumn("decoded", decode("ids") == F.col("text"))
-    return small.unionByName(joined.select(*small.columns))
+    scanned = joined_.where("__found IS NOT NULL").drop("__key", "__found").withColumn("n_ids", F.size("ids")).withColumn("decoded", decode("ids") == F.col("text"))
+    # Texts without one path, of which there should be none.
+    rest = joined_.where("__found IS NULL").select(*docs.columns).mapInArrow(tidy(_whole(path)), schema)
+    return small.unionByName(scanned.select(*small.columns)).unionByName(rest)
+
+
+#: Letters, cases, accents, blanks, digits, marks and other scripts, for comparing the scan with the library.
+PROBE = "The Quick  brown fóx, jumps over 12,345 lazy dogs.\nÀ bientôt! ｆｕｌｌ ﬁne 漢字かな Привет ½ \t" * 2
+
+
+@lru_cache(maxsize=2)
+def scans(path: str) -> bool:
+    """Whether the scan gives what the library gives for a model."""
+    try:
+        return scan(PROBE, path, 40) == load(path).lib.encode(PROBE)
+    except ValueError:
+        return False
 
 
 def decoder(path: str = MODEL):
