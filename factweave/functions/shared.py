@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: list[tempfile.TemporaryDirectory] = []
-_MADE: set[str] = set()
+#: Folders made in the shared one, with the thread that made them.
+_MADE: dict[str, int] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -26,7 +28,7 @@ def scratch(spark: SparkSession, name: str) -> str:
             _LOCAL.append(tempfile.TemporaryDirectory(prefix="factweave-"))
         base = f"file://{_LOCAL[0].name}"
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _MADE.add(path)
+    _MADE[path] = threading.get_ident()
     return path
 
 
@@ -46,20 +48,17 @@ def remove(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        _MADE.discard(path)
+        _MADE.pop(path, None)
 
 
-def sweep(spark: SparkSession, keep: set[str] = frozenset()) -> None:
-    """Deletes every folder that this driver has made in the shared one, but those of ``keep``.
-
-    For the end of a run, when no table that was made on the way is read any more.
-    """
-    remove(spark, *(_MADE - set(keep)))
+def made() -> set[str]:
+    """The folders that this thread of the driver has made in the shared one and not yet removed."""
+    return {path for path, by in _MADE.items() if by == threading.get_ident()}
 
 
-def made() -> set[str]:
-    """The folders that this driver has made in the shared one and not yet removed."""
-    return set(_MADE)
+def sweep(spark: SparkSession, keep: set[str] = frozenset()) -> None:
+    """Removes the folders that this thread has made, but those of ``keep``: for the end of a run, when no table made on the way is read any more."""
+    remove(spark, *(made() - keep))
 
 
 def site_time(ts: Column) -> Column:
