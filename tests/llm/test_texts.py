@@ -199,3 +199,47 @@ def test_pipeline_stages(spark, sf_dir):
     last = p.STAGES[-1][1](spark, docs, sf_dir)
     assert last.count() == n and last.where("NOT decoded").count() == 0
     assert p.STAGES[0][1](spark, docs.limit(0), sf_dir).count() == 0
+
+
+FIELDS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_pipeline_stages_take_odd_rows(spark, tmp_path):
+    import corpus_pipeline as p
+
+    long = "word " * 60_000
+    block = "\n".join(f"a line {k} that two documents share" for k in range(4))
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n", "en", "a", 2), (None, block, "en", "a", 9), (None, None, "en", None, None), (4, block, "en", "a", 9), (4, block, "en", "a", 9), (5, f"{block}\nand one", "en", "b", 9), (6, long, "en", "b", 9), (7, long + "x", None, None, 9)]
+    rows += [(10 + k, f"plain words of document {k} in some order of its own {k * 7}", "en", "c", 9) for k in range(20)]
+    spark.createDataFrame([(k, k % 2) for k in range(10, 20)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, FIELDS)
+    for c in ("score", "key", "n_deleted", "component_id", "size", "ids", "task"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    out = {name: stage(spark, docs, str(tmp_path)) for name, stage in p.STAGES}
+    for name, stage in p.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        if name != p.STAGES[-1][0]:
+            assert out[name].columns == p.COLUMNS, name
+    said = {name: sorted(((r["doc_id"], r["text"] if "text" in df.columns else r["n_ids"]) for r in df.collect()), key=str) for name, df in out.items()}
+    texts = Counter((i, t) for i, t, *_ in rows)
+    assert not Counter(said["quality classifier"]) - texts and Counter(said["quality classifier"])[4, block] in (0, 2)
+    cut = dict(said["line dedup"])
+    assert cut[4] == block and cut[5] == "and one" and None not in [i for i, t in said["line dedup"] if t] and Counter(said["line dedup"])[4, block] == 2
+    near = said["n-gram Jaccard join"]
+    assert (7, long + "x") in near or (6, long) in near
+    assert Counter(near)[4, block] == 1 and (5, f"{block}\nand one") not in near and {(1, None), (2, ""), (3, " \n"), (None, None), (None, block)} <= set(near)
+    mixed = Counter(i for i, _ in said["mixing"])
+    assert {1, 2, 3} <= set(mixed) and max(n for i, n in mixed.items() if i not in (None, 4)) <= 2
+    assert dict(said["sentencepiece"])[1] is None and dict(said["sentencepiece"])[2] == 0 and len(said["sentencepiece"]) == len(rows)
+
+
+def test_pipeline_removes_what_it_made(spark, sf_dir):
+    import corpus_pipeline as p
+    from factweave.functions.shared import made, sweep
+
+    sweep(spark)
+    assert p.run(spark, sf_dir).where("NOT decoded").count() == 0
+    left = made()
+    assert sum("mixing-" in x for x in left) == 1 and not any(k in x for x in left for k in ("quality", "blocks", "signatures", "classes", "line-dedup"))
+    sweep(spark)
+    assert not made()
