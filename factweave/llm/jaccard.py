@@ -8,7 +8,9 @@
 3. Inside a block, the counts of shingles in ``GROUPS`` hash groups are points in an R-tree. The overlap of
    two sets is at most the sum of the coordinates' minima, for a tree node of the minima with the largest
    counts below it. Pairs that survive the bound and aren't connected yet are verified on the sets themselves.
-4. Large blocks are cut into tiles by a hash, so that no task holds or sorts a block. First every tile is searched
+   Of a long text a small vector bounds little, since its counts hardly differ from those of any other; so blocks that
+   would fill a tile are parted first by vectors whose length follows the size of the set.
+4. Blocks that are still large are cut into tiles by a hash, so that no task holds or sorts a block. First every tile is searched
    by itself; then one class of each component that a tile has found is compared with those of other tiles;
    and only what these two rounds leave apart is compared between tiles, pair by pair of tiles. A family of near copies is
    one component after the first rounds, however large it is, and costs no pairs of tiles.
@@ -44,6 +46,8 @@ TILE, LEAST = 1 << 21, 512
 GROUPS = 256
 #: Groups of the smaller count vectors that are compared where classes meet; classes of a name that a task compares at once.
 SKETCH, MEET = 128, 1024
+#: Shingles to a group of the longer vectors; bytes of such vectors that a task compares at once.
+FINE, HELD = 8, 8 << 20
 ONE, TWO, THREE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 #: Lower ends of bands of set sizes, each half as large again as the one before.
@@ -116,6 +120,17 @@ def _counts(tokens: np.ndarray, groups_: int) -> np.ndarray:
     return np.bincount((tokens >> np.uint64(40)).astype(np.int64) % groups_, minlength=groups_)
 
 
+def fine_groups(size: float, least: int, most: int) -> int:
+    """A power of two of groups for sets of a size, so that a longer vector is folded to a shorter one by adding halves."""
+    return min(most, max(least, 1 << max(0, math.ceil(math.log2(max(size, 1) / FINE)))))
+
+
+def fine_vector(tokens: np.ndarray) -> bytes | None:
+    """Counts, 255 for any larger, in as many groups as the set's size asks for; none if the small vector has as many."""
+    g = fine_groups(len(tokens), SKETCH, 1 << 20)
+    return _counts(tokens, g).clip(0, 255).astype(np.uint8).tobytes() if g > SKETCH else None
+
+
 def _signed(x) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
@@ -134,8 +149,9 @@ def _signatures(num: int, den: int, size: int):
                         *(pa.array(_signed([mix(s ^ salt).sum(dtype=np.uint64) for s in sets]), pa.int64()) for salt in (ONE, TWO)),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(np.concatenate(keys)))),
                         pa.array([_counts(s, SKETCH).clip(0, 255).astype(np.uint8).tobytes() for s in sets], pa.binary()),
+                        pa.array([fine_vector(s) for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "s1", "s2", "names", "sketch"],
+                    names=["doc_id", "n_shingles", "s1", "s2", "names", "sketch", "fine"],
                 )
 
     return run
@@ -175,10 +191,11 @@ class CountTree:
 
 def forest(ids: np.ndarray, sets: list[np.ndarray], roots: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     """Links that connect what is linked; rows with one root are connected already."""
-    counts = np.zeros((len(sets), GROUPS), np.int32)
-    for k, s in enumerate(sets):
-        counts[k] = _counts(s, GROUPS)
     sizes = np.array([len(s) for s in sets])
+    groups_ = fine_groups(float(np.median(sizes)), GROUPS, 16 * GROUPS)
+    counts = np.zeros((len(sets), groups_), np.int32)
+    for k, s in enumerate(sets):
+        counts[k] = _counts(s, groups_)
     tree = CountTree(counts, sizes, num, den)
     label = np.unique(roots, return_inverse=True)[1].copy()
     left = len(np.unique(label))
@@ -228,6 +245,74 @@ def _meetings(num: int, den: int):
     return run
 
 
+def parted(sizes: np.ndarray, vectors: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs of places, in order of size, whose vectors allow a link: a forest that connects all such.
+
+    Vectors have powers of two of counts that don't fall along the sizes; the longer of a pair is folded.
+    """
+    length = np.array([len(v) for v in vectors])
+    level = {g: (np.flatnonzero(length == g), None) for g in np.unique(length)}
+    for g, (at, _) in level.items():
+        rows = np.frombuffer(b"".join(vectors[k] for k in at), np.uint8).reshape(len(at), g).astype(np.int32)
+        rows[rows == 255] = 1 << 20  # a count of 255 stands for any larger one, so it bounds nothing
+        level[g] = (at, {g: rows})
+    label, out = np.arange(len(sizes)), []
+    for q in range(len(sizes) - 1):
+        g = length[q]
+        own = level[g][1][g][np.searchsorted(level[g][0], q)]
+        for at, folded in (level[x] for x in level if x >= g):
+            first = np.searchsorted(at, q, "right")
+            last = np.searchsorted(sizes[at], den * sizes[q] // num, "right")
+            near = np.arange(first, max(first, last))
+            near = near[label[at[near]] != label[q]]
+            if not len(near):
+                continue
+            if g not in folded:
+                rows = folded[max(folded)]
+                folded[g] = rows.reshape(len(rows), -1, g).sum(axis=1)
+            bound = np.minimum(np.minimum(folded[g][near], own).sum(axis=1, dtype=np.int64), sizes[q])
+            for k in at[near[(num + den) * bound >= num * (sizes[at[near]] + sizes[q])]].tolist():
+                if label[k] != label[q]:
+                    out.append((q, k))
+                    label[label == label[k]] = label[q]
+    return out
+
+
+def _partings(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in groups(batches, ["cell"]):
+            ids = rows.column("doc_id").to_numpy()
+            pairs = parted(rows.column("n_shingles").to_numpy(), rows.column("vector").to_pylist(), num, den)
+            if pairs:
+                yield _batch([(int(ids[a]), int(ids[b])) for a, b in pairs])
+
+    return run
+
+
+def _blocks(members: DataFrame, num: int, den: int) -> DataFrame:
+    """``block, doc_id, n_shingles`` of ``members``, which have ``vector``, too: blocks that would fill a tile are parted by the vectors.
+
+    A block's classes lie in bands of sizes, of which only neighbours can hold linked ones; so every class is compared
+    in the cell of its own band and in that of the next one.
+    """
+    weights = members.groupBy("block").agg(F.sum(F.greatest("n_shingles", F.lit(LEAST))).alias("total"), F.count("*").alias("n"))
+    sized = written(meet(members, weights, "block"), "weighed")
+    large = sized.where(F.col("total") > TILE)
+    small = sized.where(F.col("total") <= TILE).select("block", "doc_id", "n_shingles")
+    if large.isEmpty():
+        return small
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(1.001 * den / num))
+    cells = written(large.select("doc_id", "n_shingles", "vector", F.explode(F.array(F.xxhash64("block", band), F.xxhash64("block", band + 1))).alias("cell")), "cells")
+    totals = cells.groupBy("cell").agg(F.sum(F.octet_length("vector")).alias("bytes"), F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    held = meet(cells, totals, "cell")
+    compared = held.where(F.col("bytes") <= HELD).select("cell", "doc_id", "n_shingles", "vector").repartition("cell").sortWithinPartitions("cell", "n_shingles", "doc_id")
+    # Cells of more than a task should hold stay together.
+    whole = held.where(F.col("bytes") > HELD).select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    found = components(compared.mapInArrow(tidy(_partings(num, den)), "a bigint, b bigint").unionByName(whole), "parted")
+    # Who is tied to nobody any more is linked with nobody.
+    return small.unionByName(large.drop("block").join(found.select(F.col("id").alias("doc_id"), F.col("root").alias("block")), "doc_id").select("block", "doc_id", "n_shingles"))
+
+
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -278,7 +363,7 @@ def _searched(tasks: DataFrame, docs: DataFrame, num: int, den: int, size: int)
 def _links_of_blocks(members: DataFrame, docs: DataFrame, num: int, den: int, size: int) -> DataFrame:
     """Links a, b that connect what is linked inside the blocks of ``members(block, doc_id, n_shingles)``."""
     weights = members.groupBy("block").agg(F.sum(F.greatest("n_shingles", F.lit(LEAST))).alias("total"), F.count("*").alias("n"))
-    band = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(1.5))
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(1.1))
     part = F.when(F.col("total") > TILE, band).otherwise(F.lit(-1)).cast("long").alias("part")
     tiles = _tiled(meet(members, weights, "block").select("block", part, "doc_id", "n_shingles", F.col("doc_id").alias("root")))
     links = _searched(tiles.withColumn("task", F.col("tile")), docs, num, den, size)
@@ -339,20 +424,21 @@ def join(docs: DataFrame, percent: int = 80, size: int = SHINGLE, id_col: str =
     spark, num, den = docs.sparkSession, percent, 100
     docs = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     path, at = scratch(spark, "signatures"), scratch(spark, "classes")
-    every = stored(docs.mapInArrow(tidy(_signatures(num, den, size)), "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, names array<bigint>, sketch binary"), path)
+    every = stored(docs.mapInArrow(tidy(_signatures(num, den, size)), "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, names array<bigint>, sketch binary, fine binary"), path)
     linkable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     same = F.struct("n_shingles", "s1", "s2")
     rows = written(every.select("doc_id", "n_shingles", F.when(linkable, same).alias("same")), "rows")
-    every = every.where(linkable).groupBy(same.alias("same")).agg(F.min(F.struct("doc_id", "names", "sketch")).alias("x"), F.count("*").alias("n"))
-    full = stored(every.select("same", "n", F.col("x.doc_id").alias("rep"), F.col("same.n_shingles").alias("n_shingles"), "x.names", "x.sketch"), at)
+    every = every.where(linkable).groupBy(same.alias("same")).agg(F.min(F.struct("doc_id", "names", "sketch", "fine")).alias("x"), F.count("*").alias("n"))
+    full = stored(every.select("same", "n", F.col("x.doc_id").alias("rep"), F.col("same.n_shingles").alias("n_shingles"), "x.names", "x.sketch", "x.fine"), at)
     remove(spark, path)
     classes = written(full.select("same", "n", "rep"), "classes")
+    vectors = written(full.select("rep", "n_shingles", F.coalesce("fine", "sketch").alias("vector")), "vectors")
     blocks = components(_ties(full, num, den), "blocks").select(F.col("id").alias("doc_id"), F.col("root").alias("block"))
     remove(spark, at)
     # Only class representatives are compared, each class by its own size; several classes may have the same one if rows share an id.
     some = rows.where("same IS NOT NULL")
-    members = some.select("doc_id", "n_shingles").join(blocks, "doc_id").select("block", "doc_id", "n_shingles").distinct()
-    links = _links_of_blocks(written(members, "in-blocks"), docs, num, den, size)
+    members = written(vectors.withColumnRenamed("rep", "doc_id").join(blocks, "doc_id").select("block", "doc_id", "n_shingles", "vector"), "in-blocks")
+    links = _links_of_blocks(written(_blocks(members, num, den).distinct(), "parted"), docs, num, den, size)
     # Rows that share an id are one document.
     several = some.groupBy("doc_id").agg(F.min("same").alias("low"), F.max("same").alias("high")).where("low <> high").select("doc_id")
     reps = some.join(several, "doc_id").select("doc_id", "same").join(classes, "same").withColumn("first", F.min("rep").over(W.partitionBy("doc_id")))

@@ -99,6 +99,28 @@ def test_join_of_a_family_over_many_tiles(spark, monkeypatch):
         assert run(spark, rows, percent, size) == brute(rows, percent, size)
 
 
+def test_longer_vectors_part_blocks_and_lose_no_link(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = [rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (900, 1500, 1800, 4000, 5200, 5200)]
+    sets = sorted((np.unique(np.r_[b[int(len(b) * cut) :], rng.integers(0, 1 << 63, more).astype(np.uint64)]) for b in base for cut in (0, 0.04, 0.09) for more in (0, 30, 200)), key=len)
+    sizes, vectors = np.array([len(x) for x in sets]), [jaccard.fine_vector(x) or jaccard._counts(x, jaccard.SKETCH).clip(0, 255).astype(np.uint8).tobytes() for x in sets]
+    root = list(range(len(sets)))
+    for a, b in jaccard.parted(sizes, vectors, 80, 100):
+        root = [root[a] if r == root[b] else r for r in root]
+    for a in range(len(sets)):
+        for b in range(a):
+            shared = len(np.intersect1d(sets[a], sets[b]))
+            assert 100 * shared < 80 * (sizes[a] + sizes[b] - shared) or root[a] == root[b]
+    assert len(set(root)) >= 6  # of strangers of about one size, too
+    monkeypatch.setattr(jaccard, "TILE", 3000)
+    monkeypatch.setattr(jaccard, "MEET", 2)
+    words = [f"w{k}" for k in rng.integers(0, 10**6, 9000)]
+    rows = [(100 * f + k, " ".join([*words[1500 * f + 7 * k : 1500 * f + 1400 + 40 * f], "one common passage at the end of them all that is the same"])) for f in range(5) for k in range(6)]
+    for held in (1 << 20, 1):
+        monkeypatch.setattr(jaccard, "HELD", held)
+        assert run(spark, rows, 80, 5) == brute(rows, 80, 5)
+
+
 def test_join_ties_classes_of_common_names(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "MEET", 3)
     rows = near_copies(5)
