@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.shared import seconds_between
+from ..functions.vocabulary import ONE
 
 
 def begin(c: str = "valid_from") -> Column:
@@ -27,14 +28,22 @@ def history(facts: DataFrame, chain: Sequence[str], obj: str = "object_text") ->
     numbered = F.row_number().over(w)
     changed = (numbered == 1) | ~F.col(obj).eqNullSafe(prev)
     runs = facts.withColumns({"__new": changed, "__keep": changed | prev_end.isNotNull()}).withColumn("__run", F.sum(F.col("__new").cast("int")).over(w))
-    # The first row of the next run lies ahead: the smallest begin of a later run, as begins rise along the chain.
-    ahead = w.rowsBetween(1, W.unboundedFollowing)
-    following = runs.withColumn("__next", F.first(F.when(F.col("__new"), begin()), ignorenulls=True).over(ahead))
+    # The next run begins ahead: what a walk from the chain's end saw last. That frame grows by one row at each, so a chain costs its length.
+    back = W.partitionBy(*chain).orderBy(begin().desc(), F.col("seq").desc()).rowsBetween(W.unboundedPreceding, -1)
+    following = runs.withColumn("__next", F.last(F.when(F.col("__new"), begin()), ignorenulls=True).over(back))
     own = F.col("valid_to")
     end = F.when(own.isNotNull() & (F.col("__next").isNull() | (own < F.col("__next"))), own).otherwise(F.col("__next"))
     return following.where("__keep").withColumn("end", end).withColumnRenamed("valid_from", "start").drop("__new", "__keep", "__run", "__next", "valid_to")
 
 
+def all_history(facts: DataFrame) -> DataFrame:
+    """``history`` of each source's one-valued predicates, by literal, unit and reference; a fact of any other predicate is an interval of its own."""
+    said = facts.withColumn("__said", F.struct("object_is_ref", "object_text", "unit"))
+    one = history(said.where(F.col("predicate").isin(*ONE)), ["subject", "predicate", "source"], "__said")
+    many = said.where(~F.col("predicate").isin(*ONE)).withColumnsRenamed({"valid_from": "start", "valid_to": "end"})
+    return one.unionByName(many).drop("__said")
+
+
 def change_only(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """Rows whose value differs from the one before of the same key."""
     w = W.partitionBy(*keys).orderBy(*order)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.shared import seconds_between
+from ..functions.vocabulary import ONE, STALE_AFTER, TOPOLOGY
 from .intervals import begin
 
 
@@ -77,6 +78,48 @@ def readings(facts: DataFrame, seen: DataFrame, at: str, stale_seconds: int) ->
     return fresh.select("subject", "predicate", "object_text", "source", "kind", "seq", state.alias("state"))
 
 
+def all_readings(facts: DataFrame, seen: DataFrame, at: str, pace: DataFrame) -> DataFrame:
+    """Readings at a time, of one-valued predicates as ``readings`` tells them and of every fact of others.
+
+    ``pace(source, interval_seconds)`` says how often a source reports: one that has been silent for longer than
+    three times that makes what it knows stale, and one without a pace is never stale. A device's own reports count before its source's.
+    """
+    cur = facts.where(holds_at(at)).withColumn("__kr", F.when(F.col("kind") == "inferred", 0).otherwise(1))
+    one, said = F.col("predicate").isin(*ONE), F.struct("object_is_ref", "object_text", "unit")
+    by_source, by_reading = W.partitionBy("subject", "predicate", "source"), W.partitionBy("subject", "predicate")
+    top = (
+        cur.where(one).withColumns({"__rk": F.rank().over(by_source.orderBy(begin().desc())), "__pos": F.min("seq").over(by_source)}).where("__rk = 1")
+        .withColumn("__top", F.max("__kr").over(by_reading)).where("__kr = __top").withColumn("__n", F.size(F.collect_set(said).over(by_reading)))
+    )
+    each = W.partitionBy("subject", "predicate", "object_is_ref", "object_text", "unit").orderBy("__pos", "seq")
+    ranked = top.withColumns({"__each": F.row_number().over(each), "__win": F.row_number().over(by_reading.orderBy(begin().desc(), F.col("seq").desc()))})
+    chosen = ranked.where("(__n > 1 AND __each = 1) OR (__n = 1 AND __win = 1)").select(*facts.columns, "__n")
+    every = chosen.unionByName(cur.where(~one).select(*facts.columns, F.lit(1).alias("__n")))
+    fresh = with_freshness(every, seen, at, F.regexp_replace("subject", "^[^:]*:", "")).join(pace, "source", "left")
+    silent = F.coalesce(seconds_between(F.col("last_seen"), F.lit(at)) > STALE_AFTER * F.col("interval_seconds"), F.lit(False))
+    state = F.when(F.col("__n") > 1, "ambiguous").when((F.col("kind") == "inferred") & (F.col("predicate") == "same_as"), "pending").when(silent, "stale").otherwise("known")
+    return fresh.select("subject", "predicate", "object_is_ref", "object_text", "unit", "source", "kind", "seq", F.col("valid_from").alias("since"), "last_seen", state.alias("state"))
+
+
+def topology(facts: DataFrame, at: str | None = None) -> DataFrame:
+    """The edges of the topology that hold at a time, or all. An order that was handed to a robot counts only while it is the
+    robot's current task, if the robot ever says which task is its own: fleets never say that an order is over."""
+    cur = facts if at is None else facts.where(holds_at(at))
+    edges = cur.where(F.col("predicate").isin(*TOPOLOGY))
+    tasks = facts.where("predicate = 'current_task'")
+    own = W.partitionBy("subject", "source").orderBy(begin().desc())
+    top = (tasks if at is None else tasks.where(holds_at(at))).withColumn("__rk", F.rank().over(own)).where("__rk = 1")
+    rank = F.when(F.col("kind") == "inferred", 0).otherwise(1)
+    top = top.withColumn("__kr", rank).withColumn("__top", F.max("__kr").over(W.partitionBy("subject"))).where("__kr = __top")
+    doing = top.select(F.col("subject").alias("__robot"), F.col("object_text").alias("__task")).distinct()
+    handed = F.col("predicate") == "assigned_to"
+    told = edges.where(handed).join(tasks.select(F.col("subject").alias("object_text")).distinct().withColumn("__tells", F.lit(True)), "object_text", "left")
+    kept = told.where("__tells IS NULL").drop("__tells").unionByName(
+        told.where("__tells").drop("__tells").join(doing, (F.col("object_text") == F.col("__robot")) & (F.col("subject") == F.col("__task")), "left_semi")
+    )
+    return edges.where(~handed).unionByName(kept.select(*edges.columns))
+
+
 def expected_unknown(found: DataFrame, entities: DataFrame, expected: DataFrame) -> DataFrame:
     """Rows for predicates that a type of entity should have and has no reading of."""
     wanted = entities.join(F.broadcast(expected), "type").select("subject", "predicate")  # a fixed vocabulary

@@ -2,26 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.shared import seconds_between
+from ..functions.vocabulary import GAP_SECONDS, MIN_EVENTS, MIN_SHARE, REJECT, SUPPORT
 from ..operators.intervals import overlap_join, sessions
 
-GAP_SECONDS = 900
-
-
-@dataclass(frozen=True)
-class Limits:
-    """Fewer events or hours than these decide nothing; a ratio under ``ratio`` supports nothing."""
-
-    events: int = 5
-    hours: float = 1.0
-    ratio: float = 1.5
-
-
 def meets(value: Column, op: str, target: str) -> Column:
     """A condition on text; order comparisons need numbers on both sides and fail without."""
     number, other = value.try_cast("double"), F.lit(target).try_cast("double")
@@ -45,22 +33,31 @@ def hours(spans: DataFrame, periods: DataFrame) -> DataFrame:
     return both.groupBy("subject").agg((F.sum(seconds_between(F.greatest("start", "start2"), F.least("end", "end2"))) / 3600.0).alias("hours"))
 
 
-def rate_when(events: DataFrame, spans: DataFrame, periods: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Events ``subject, t`` inside and outside the condition's intervals, by observed hours, and a verdict."""
-    inside = events.alias("e").join(spans.alias("s"), (F.col("e.subject") == F.col("s.subject")) & (F.col("e.t") >= F.col("s.start")) & (F.col("e.t") < F.col("s.end")), "left_semi")
-    with_ = inside.groupBy("subject").agg(F.count("*").alias("with_n"))
-    every = events.groupBy("subject").agg(F.count("*").alias("n"))
+def verdict(with_n: Column, without_n: Column, with_hours: Column, without_hours: Column, expect: str) -> tuple[Column, Column]:
+    """Whether a rate moved as expected (``more`` or ``fewer``), and by what ratio; both sides need events and observed time."""
+    a, b = F.try_divide(with_n, with_hours), F.try_divide(without_n, without_hours)
+    up, down = (a, b) if expect == "more" else (b, a)
+    ratio = F.when(down == 0, F.lit(float("inf"))).otherwise(F.try_divide(up, down))
+    least = F.least(with_hours, without_hours)
+    short = (with_n + without_n < MIN_EVENTS) | (least <= 0) | (least < MIN_SHARE * (with_hours + without_hours))
+    told = F.when(short, "inconclusive").when(ratio >= SUPPORT, "supported").when(ratio < REJECT, "rejected").otherwise("inconclusive")
+    return told, F.when(~short, ratio)
+
+
+def rate_when(events: DataFrame, spans: DataFrame, periods: DataFrame, expect: str = "more") -> DataFrame:
+    """Events ``subject, t`` inside and outside the condition's intervals ``subject, start, end``, by observed hours, and a verdict.
+
+    An event is inside if an interval that began by then ends later: one walk over both in order of time, and no event is compared with all intervals.
+    """
+    marks = events.select("subject", "t", F.lit(None).cast("string").alias("end"), F.lit(1).alias("side")).unionByName(spans.select("subject", F.col("start").alias("t"), "end", F.lit(0).alias("side")))
+    w = W.partitionBy("subject").orderBy("t", "side").rowsBetween(W.unboundedPreceding, 0)
+    counted = marks.withColumn("until", F.max("end").over(w)).where("side = 1")
+    inside = F.coalesce(F.col("t") < F.col("until"), F.lit(False))
+    counts = counted.groupBy("subject").agg(F.count_if(inside).alias("with_n"), F.count_if(~inside).alias("without_n"))
     total = periods.agg((F.sum(seconds_between(F.col("start"), F.col("end"))) / 3600.0).alias("all_hours"))  # one row
-    rows = every.join(with_, "subject", "left").join(hours(spans, periods), "subject", "left").join(F.broadcast(total)).na.fill(0, ["with_n", "hours"])
-    out = rows.withColumns({"without_n": F.col("n") - F.col("with_n"), "without_hours": F.col("all_hours") - F.col("hours")})
-    short = (F.col("hours") < limits.hours) | (F.col("without_hours") < limits.hours) | (F.col("n") < limits.events)
-    a, b = F.try_divide("with_n", "hours"), F.try_divide("without_n", "without_hours")
-    verdict = F.when(short, "too little data").when(b == 0, F.when(a > 0, "supported").otherwise("not supported")).when(a >= limits.ratio * b, "supported").otherwise("not supported")
-    return out.select("subject", "with_n", "without_n", "hours", "without_hours", F.try_divide(a, b).alias("ratio"), verdict.alias("verdict"))
-
-
-#: Of ``before_after``: fewer events, or a smaller share of observed time on a side, decide nothing; ratios that support and reject.
-MIN_EVENTS, MIN_SHARE, SUPPORT, REJECT = 3, 0.05, 2.0, 1.25
+    out = counts.join(hours(spans, periods), "subject", "left").join(F.broadcast(total)).na.fill(0.0, ["hours", "all_hours"]).withColumn("without_hours", F.col("all_hours") - F.col("hours"))
+    told, ratio = verdict(F.col("with_n"), F.col("without_n"), F.col("hours"), F.col("without_hours"), expect)
+    return out.select("subject", "with_n", "without_n", "hours", "without_hours", ratio.alias("ratio"), told.alias("verdict"))
 
 
 def before_after(events: DataFrame, periods: DataFrame, at: str, expect: str = "more") -> DataFrame:
@@ -69,10 +66,5 @@ def before_after(events: DataFrame, periods: DataFrame, at: str, expect: str = "
     span = lambda a, b: F.coalesce(F.sum(F.greatest(seconds_between(a, b), F.lit(0))) / 3600.0, F.lit(0.0))
     observed_ = periods.agg(span(late, F.col("end")).alias("hours_after"), span(F.col("start"), early).alias("hours_before"))  # one row
     counts = events.groupBy("subject").agg(F.count_if(F.col("t") >= at).alias("after_n"), F.count_if(F.col("t") < at).alias("before_n"))
-    a, b = F.try_divide("after_n", "hours_after"), F.try_divide("before_n", "hours_before")
-    up, down = (a, b) if expect == "more" else (b, a)
-    ratio = F.when(down == 0, F.lit(float("inf"))).otherwise(F.try_divide(up, down))
-    least = F.least("hours_after", "hours_before")
-    short = (F.col("after_n") + F.col("before_n") < MIN_EVENTS) | (least <= 0) | (least < MIN_SHARE * (F.col("hours_after") + F.col("hours_before")))
-    verdict = F.when(short, "inconclusive").when(ratio >= SUPPORT, "supported").when(ratio < REJECT, "rejected").otherwise("inconclusive")
-    return counts.join(F.broadcast(observed_)).select("subject", "after_n", "before_n", "hours_after", "hours_before", F.when(~short, ratio).alias("ratio"), verdict.alias("verdict"))
+    told, ratio = verdict(F.col("after_n"), F.col("before_n"), F.col("hours_after"), F.col("hours_before"), expect)
+    return counts.join(F.broadcast(observed_)).select("subject", "after_n", "before_n", "hours_after", "hours_before", ratio.alias("ratio"), told.alias("verdict"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.shared import fact_id, site_time
+from ..functions.shared import fact_id, shifted, site_time
 
 LOG = "seq bigint, type string, fact struct<subject:string,predicate:string,object:struct<ref:string,value:string,unit:string>,valid_from:string,valid_to:string,kind:string,source:string,citations:array<struct<file:string,locator:string,quote:string>>,model:string>, seen struct<source:string,t:string>, confirm struct<proposal:string,answer:string,by:string>"
 
@@ -46,3 +46,40 @@ def topology(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(edge(customer, ref("customer", "c_custkey"), "part_of", ref("nation", "c_nationkey")))
     )
     return every.withColumn("seq", F.lit(0).cast("long"))
+
+
+def site_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of several predicates from the events: modes and batteries with units, some with ends of their own; zones and current tasks as
+    references; orders handed to robots, and names, of which a thing has many. Every seventh is inferred."""
+    m = messages(spark, sf_dir).withColumns({"n": F.col("seq"), "robot": F.col("subject"), "task": F.concat(F.lit("task:"), F.col("seq") % 7)})
+    text = lambda c: c.cast("string")
+    until = F.when(F.col("n") % 3 == 0, shifted(F.col("t"), 5400))
+    kinds = (
+        ("n % 2 = 0", "robot", "mode", False, F.col("mode"), None, until),
+        ("n % 5 = 1", "robot", "battery", False, text(F.floor("value") % 4 * 25), "%", None),
+        ("n % 5 = 2", "robot", "in_zone", True, F.concat(F.lit("zone:"), F.col("n") % 3), None, until),
+        ("n % 11 = 3", "robot", "current_task", True, F.col("task"), None, None),
+        ("n % 11 IN (3, 4)", "task", "assigned_to", True, F.col("robot"), None, None),
+        ("n % 17 = 5", "robot", "name", False, F.concat(F.lit("unit "), F.col("n") % 4), None, F.when(F.col("n") % 2 == 0, shifted(F.col("t"), 86400))),
+    )
+    out = None
+    for k, (which, who, predicate, is_ref, target, unit, end) in enumerate(kinds):
+        rows = m.where(which).select(
+            (F.col("n") * 10 + k).alias("seq"), F.col(who).alias("subject"), F.lit(predicate).alias("predicate"), F.lit(is_ref).alias("object_is_ref"), target.alias("object_text"),
+            F.lit(unit).cast("string").alias("unit"), F.col("t").alias("valid_from"), (F.lit(None) if end is None else end).cast("string").alias("valid_to"),
+            F.when(F.col("n") % 7 == 0, "inferred").otherwise("observed").alias("kind"), "source",
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def site_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of the sources, and of some robots' own devices."""
+    m = messages(spark, sf_dir)
+    device = m.where("seq % 3 = 0").select(F.concat_ws("/", "source", F.split_part("subject", F.lit(":"), F.lit(2))).alias("source"), "t")
+    return m.select("source", "t").unionByName(device)
+
+
+def site_pace(spark: SparkSession) -> DataFrame:
+    """Seconds between reports; the last source states none."""
+    return spark.createDataFrame([("src0", 900), ("src1", 3600), ("src2", 7200)], "source string, interval_seconds long")

@@ -187,18 +187,28 @@ def test_findings(spark):
     assert [(r["subject"], r["text"], len(r["because"])) for r in chain] == [("machine:a", f"fault:jam → machine:b starved at {stamp(40)}", 2)]
     change = insights.change_before_fault(spans, spans.where("predicate = 'setpoint'")).collect()
     assert [r["text"] for r in change] == ["setpoint became 7 before fault:jam"]
-    seen = spark.createDataFrame([("x", stamp(0)), ("x", stamp(4000)), ("y", stamp(100)), ("z", stamp(0))], "source string, t string")
-    expected = spark.createDataFrame([("x", 60), ("y", 60)], "source string, interval_seconds int")
+    seen = spark.createDataFrame([("x", stamp(0)), ("x", stamp(4000)), ("y", stamp(100)), ("z", stamp(0)), ("z", stamp(1000))], "source string, t string")
+    expected = spark.createDataFrame([("x", 60, "f1"), ("y", 60, "f2")], "source string, interval_seconds int, fact_id string")
     quiet = insights.stale_sources(seen, expected, stamp(4100)).collect()
-    assert sorted((r["subject"], r["text"]) for r in quiet) == [("source:x", f"silent until {stamp(4000)}"), ("source:y", "silent until now")]
-    needs = spark.createDataFrame([("task:1", "weld")], "subject string, qualification string")
-    holders = spark.createDataFrame([("weld", "p", stamp(10), stamp(20)), ("weld", "q", stamp(15), stamp(30))], "qualification string, person string, since string, until string")
+    # Others than x must report once its silence is a silence, as z does here at 1000; y's silence began at 280.
+    assert sorted((r["subject"], r["valid_from"], r["text"], r["because"]) for r in quiet) == [
+        ("source:x", stamp(180), f"silent since {stamp(0)} until {stamp(4000)}", ["f1"]), ("source:y", stamp(280), f"silent since {stamp(100)} until now", ["f2"]),
+    ]
+    needs = spark.createDataFrame([("task:1", "weld", "n1")], "subject string, qualification string, fact_id string")
+    holders = spark.createDataFrame([("weld", "p", stamp(10), stamp(20), "h1"), ("weld", "q", stamp(15), stamp(30), "h2")], "qualification string, person string, since string, until string, fact_id string")
     gap = insights.qualification_gap(needs, holders, stamp(0), stamp(60)).collect()
+    assert {tuple(r["because"]) for r in gap} == {("n1", "h1", "h2")}
     assert sorted((r["valid_from"], r["text"]) for r in gap) == [(stamp(0), f"no free holder of weld until {stamp(10)}"), (stamp(30), f"no free holder of weld until {stamp(60)}")]
-    orders = spark.createDataFrame([("wo:1", "conveyor motor", stamp(0), "replaced jammed motor", "no")], "subject string, asset string, valid_from string, problem string, lockout string")
-    clauses = spark.createDataFrame([("4.2", "Lockout the conveyor before motors are replaced")], "clause string, text string")
+    orders = spark.createDataFrame([("wo:1", "conveyor motor", stamp(0), "replaced jammed motor", "no", "w1")], "subject string, asset string, valid_from string, problem string, lockout string, fact_id string")
+    clauses = spark.createDataFrame([("4.2", "Lockout the conveyor before motors are replaced", "c1")], "clause string, text string, fact_id string")
     told = insights.regulation_check(orders, clauses)
-    assert [r["text"] for r in insights.all_findings(told, told).collect()] == ["4.2: no lockout recorded"]
+    assert [(r["text"], r["because"]) for r in insights.all_findings(told, told).collect()] == [("4.2: no lockout recorded", ["w1", "c1"])]
+
+
+def test_long_histories_cost_their_length(spark):
+    rows = spark.range(400_000).selectExpr("id AS seq", "'robot:1' AS subject", "CASE WHEN id < 100000 THEN 'a' WHEN id < 300000 THEN 'b' ELSE 'a' END AS object_text", "format_string('%08d', id) AS valid_from", "CAST(NULL AS string) AS valid_to")
+    got = sorted((r["start"], r["end"], r["object_text"]) for r in intervals.history(rows, ["subject"]).collect())
+    assert got == [("00000000", "00100000", "a"), ("00100000", "00300000", "b"), ("00300000", None, "a")]
 
 
 def test_rates_count_observed_time(spark):
