@@ -39,3 +39,8 @@ SUPPORT, REJECT, MIN_EVENTS, MIN_SHARE, GAP_SECONDS = 2.0, 1.25, 3, 0.05, 900
 
 #: Actions and the type of thing that each needs.
 VERBS = {"pause": "robot", "resume": "robot", "send_to": "robot", "cancel_task": "robot", "page": "person"}
+
+#: Endings of files whose citations count as records; any other file is a document.
+RECORD_FILES = (".csv", ".tsv", ".xlsx", ".json", ".jsonl", ".yaml")
+#: Predicates, types and length of the timeline.
+TIMELINE, ASSETS, TIMELINE_ROWS = ("mode", "health", "in_zone"), ("robot", "machine", "cell"), 120

@@ -73,3 +73,25 @@ def first_edges(edges: DataFrame) -> DataFrame:
     """One edge per (subject, object, predicate): the first of the log."""
     w = W.partitionBy("subject", "object_text", "predicate").orderBy("seq")
     return edges.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def several_parents(frames: DataFrame) -> DataFrame:
+    """Children of ``frames(child, parent)`` that have more than one parent."""
+    return frames.groupBy("child").agg(F.count_distinct("parent").alias("n_parents")).where("n_parents > 1")
+
+
+def loops(frames: DataFrame) -> DataFrame:
+    """Frames on a loop of ``frames(child, parent)``, or on a way from one loop to another.
+
+    Each round drops edges that lead nowhere further and edges that nothing leads to, so a tree of depth d takes about d / 2 rounds.
+    """
+    left = written(frames.select("child", "parent").distinct(), "loops")
+    n = left.count()
+    while n:
+        down = left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
+        both = written(down.join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("child", "parent"), "loops")
+        # A frame that is its own parent leads to itself, so it stays.
+        was, n, left = n, both.count(), both
+        if n == was:
+            break
+    return left.select(F.explode(F.array("child", "parent")).alias("frame")).distinct()

@@ -57,6 +57,24 @@ def software_conflicts(rows: DataFrame, name: str = "name", pairs: Sequence[tupl
     return known.groupBy(name, F.col("c.pair").alias("pair"), F.col("c.key").alias("key")).agg(F.count_distinct("c.value").alias("n_values")).where("n_values > 1")
 
 
+def superseded(revisions: DataFrame) -> DataFrame:
+    """Held revisions ``(record, document, revision, supersedes)`` that another held one of the document says it replaces, and by which."""
+    newer = revisions.select("document", F.explode(F.array_distinct("supersedes")).alias("old"), F.col("revision").alias("newer"))
+    pairs = revisions.select("record", "document", "revision").join(newer.withColumnRenamed("old", "revision"), ["document", "revision"])
+    return pairs.groupBy("record", "document", "revision").agg(F.array_join(F.array_sort(F.collect_list("newer")), ",").alias("superseded_by"))
+
+
+def run_software_conflicts(bindings: DataFrame, software: DataFrame, fields: Sequence[str] = ("commit", "release")) -> DataFrame:
+    """Runs ``(run, configuration)`` bound to configurations that state different values for one software on one device.
+
+    ``software(configuration, name, device, commit, release)``; a software without a name is left out, one without a device has the empty one.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields]))
+    stated = software.where("name IS NOT NULL").select("configuration", "name", F.coalesce("device", F.lit("")).alias("device"), cells.alias("c")).where("c.value IS NOT NULL")
+    bound = bindings.select("run", "configuration").distinct().join(stated.select("configuration", "name", "device", "c.*"), "configuration")
+    return bound.groupBy("run", "name", "device", "field").agg(F.count_distinct("value").alias("n_values")).where("n_values > 1")
+
+
 def best_guess(guesses: DataFrame, key: str, value: str, score: str) -> DataFrame:
     """The value with the best score per key; several best values are ambiguous, and none is given."""
     w = W.partitionBy(key).orderBy(F.col(score).desc())

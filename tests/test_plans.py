@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from factweave.plans import catalogue, site_catalogue  # noqa: F401 (adds its plans)
+from factweave.plans import catalogue, report_catalogue, site_catalogue  # noqa: F401 (adds its plans)
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
