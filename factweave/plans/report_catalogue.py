@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import units
 from ..functions.shared import shifted, site_time
 from ..functions.vocabulary import ASSETS, TIMELINE, TIMELINE_ROWS
-from ..operators import documents, graph, intervals, readings, records, shifts
+from ..operators import documents, graph, intervals, readings, records, series, shifts
 from ..sources import tables
 from ..sources.tables import table
 from .catalogue import AT, FACTS, MSGS, SINCE, SQL, plan
@@ -274,3 +275,47 @@ def region_notes(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("n_nationkey")
     register = table(spark, d, "nation").select(k.alias("row"), F.concat(F.lit("unit Tag"), k, F.lit(" hall")).alias("name"), F.when(k % 2 == 0, "robot").otherwise("conveyor").alias("type"))
     return documents.extractions(table(spark, d, "pages").select(said.alias("said")), "said", register)
+
+
+UNITS = ("degC", "degF", "kPa", "deg/s", "km/h", "parsec")
+
+
+@plan("""WITH e AS (SELECT event_id, value, CAST(event_id % 7 AS INT) AS k FROM events), f(k, unit, scale, zero, base) AS (VALUES
+  (0, 'degC', 1.0::DOUBLE, 273.15::DOUBLE, 'K'), (1, 'degF', 5.0::DOUBLE / 9, 459.67::DOUBLE * 5 / 9, 'K'), (2, 'kPa', 1000.0::DOUBLE, 0::DOUBLE, 'kg m^-1 s^-2'),
+  (3, 'deg/s', pi() / 180, 0::DOUBLE, 'rad s^-1'), (4, 'km/h', 1.0::DOUBLE / 3.6, 0::DOUBLE, 'm s^-1'), (5, 'parsec', NULL, NULL, NULL))
+SELECT event_id, unit, round(value * scale + zero, 6) AS in_base, base FROM e LEFT JOIN f USING (k)""")
+def values_in_base(spark: SparkSession, d: str) -> DataFrame:
+    """Values of messages in base units; null where the unit isn't known or isn't stated."""
+    unit = F.try_element_at(F.array(*map(F.lit, UNITS)), (F.col("event_id") % 7 + 1).cast("int"))
+    x = units.in_base(F.col("value"), unit, [u for u in UNITS if u != "parsec"])
+    return table(spark, d, "events").select("event_id", unit.alias("unit"), F.round(x["value"], 6).alias("in_base"), x["unit"].alias("base"))
+
+
+ANCHORS = """a AS (SELECT user_id AS stream, CASE WHEN user_id % 2 = 0 THEN 'px4.gps_utc' ELSE 'ardupilot.gps_time' END AS rule, event_id AS tick,
+  CASE WHEN user_id % 2 = 0 THEN epoch_us(ts) ELSE (event_id % 3) * 604800000 + event_id END AS embedded FROM events
+  WHERE CASE WHEN user_id % 2 = 0 THEN event_id % 5 <> 0 ELSE event_id % 3 > 0 END)"""
+
+
+def clocked(spark: SparkSession, d: str) -> DataFrame:
+    """Events as messages of receivers: even users write one format, odd ones the other; some have no time yet."""
+    n, us = F.col("event_id"), F.unix_micros(F.col("ts").cast("timestamp"))
+    even = F.col("user_id") % 2 == 0
+    one = F.create_map(F.lit("time_utc_usec"), F.when(n % 5 == 0, F.lit(0)).otherwise(us).cast("bigint"))
+    other = F.create_map(F.lit("GWk"), (n % 3).cast("bigint"), F.lit("GMS"), n.cast("bigint"))
+    return table(spark, d, "events").select(
+        F.col("user_id").alias("stream"), F.when(even, "ulog").otherwise("dataflash").alias("encoding"), F.when(even, "sensor_gps").otherwise("GPS").alias("kind"),
+        n.alias("tick"), F.when(even, one).otherwise(other).alias("fields"),
+    )
+
+
+@plan(f"WITH {ANCHORS} SELECT * FROM a")
+def clock_anchors(spark: SparkSession, d: str) -> DataFrame:
+    return series.clock_anchors(clocked(spark, d))
+
+
+@plan(f"""WITH {ANCHORS}, s AS (SELECT *, lag(embedded) OVER w AS before, lag(tick) OVER w AS earlier FROM a WINDOW w AS (PARTITION BY stream, rule ORDER BY tick, embedded)),
+c AS (SELECT stream, rule, count(*) AS anchors, count(DISTINCT tick) AS instants, count(*) FILTER (embedded < before AND tick > earlier) AS falls FROM s GROUP BY ALL)
+SELECT *, CASE WHEN instants < 2 THEN 'single_instant' WHEN falls > 0 THEN 'runs_backward' ELSE 'fits' END AS state FROM c""")
+def clock_anchor_report(spark: SparkSession, d: str) -> DataFrame:
+    """Which receivers' clocks can be fitted, and why others can't."""
+    return series.anchor_report(series.clock_anchors(clocked(spark, d)))

@@ -1,6 +1,6 @@
 """Reports, documents, decoded readings and record rules on rows written by hand."""
 
-from factweave.operators import documents, graph, readings, records, shifts
+from factweave.operators import documents, graph, readings, records, series, shifts
 
 
 def rows(df):
@@ -106,3 +106,16 @@ def test_record_rules_and_frames(spark):
     assert rows(graph.several_parents(frames)) == [("d", 2), ("x", 2)]
     assert [r[0] for r in rows(graph.loops(frames))] == ["s", "x", "y"]
     assert graph.loops(frames.where("child = 'b'")).count() == 0 and graph.loops(frames.limit(0)).count() == 0
+
+
+def test_anchors_leave_out_rows_without_time_and_other_types(spark):
+    m = [
+        ("p", "ulog", "sensor_gps", 1, {"time_utc_usec": 10}), ("p", "ulog", "sensor_gps", 2, {"time_utc_usec": 0}), ("p", "ulog", "sensor_gps", 3, {"time_utc_usec": 9}),
+        ("p", "ulog", "sensor_baro", 4, {"time_utc_usec": 9}), ("p", "dataflash", "sensor_gps", 4, {"time_utc_usec": 9}), ("p", None, None, 4, None), ("p", "ulog", "sensor_gps", None, {"time_utc_usec": 9}),
+        ("a", "dataflash", "GPS2", 1, {"GWk": 2, "GMS": 5}), ("a", "dataflash", "GPS2", 2, {"GWk": 0, "GMS": 5}), ("a", "dataflash", "GPS", 3, {"GWk": 2, "GMS": series.WEEK_MS}),
+        ("a", "dataflash", "GPS", 4, {"GWk": 2}), ("a", "dataflash", "GPS", 5, {"GWk": 2**62, "GMS": 1}), ("a", "dataflash", "GPS", 6, {"GWk": 2, "GMS": None}),
+    ]
+    anchors = series.clock_anchors(spark.createDataFrame(m, "stream string, encoding string, kind string, tick long, fields map<string,long>"))
+    assert rows(anchors) == sorted([("p", "px4.gps_utc", 1, 10), ("p", "px4.gps_utc", 3, 9), ("a", "ardupilot.gps_time", 1, 2 * series.WEEK_MS + 5)], key=str)
+    assert rows(series.anchor_report(anchors)) == [("a", "ardupilot.gps_time", 1, 1, 0, "single_instant"), ("p", "px4.gps_utc", 2, 2, 1, "runs_backward")]
+    assert rows(series.anchor_report(anchors.where("false"))) == []
