@@ -55,6 +55,35 @@ def limits(rows: DataFrame, key: str, value: str, lower: Column, upper: Column)
     return rows.groupBy(key).agg(below.alias("below"), above.alias("above")).where("below > 0 OR above > 0")
 
 
+def declared_limits(values: DataFrame, declared: DataFrame) -> DataFrame:
+    """Values of ``values(stream, column, value)`` below or above ``declared(stream, column, unit, column_unit, lower, upper)``, counted per limit.
+
+    Only where both units are known and equal; a limit may lack an end; unknown values and NaN are outside of none.
+    """
+    stated = declared.where("unit = column_unit AND (lower IS NOT NULL OR upper IS NOT NULL)").withColumn("limit", F.struct("unit", "lower", "upper"))
+    inside = values.where("value IS NOT NULL AND NOT isnan(CAST(value AS DOUBLE))").join(stated.select("stream", "column", "limit"), ["stream", "column"])
+    below, above = F.count_if(F.col("value") < F.col("limit.lower")), F.count_if(F.col("value") > F.col("limit.upper"))
+    out = inside.groupBy("stream", "column", "limit").agg(below.alias("below"), above.alias("above")).where("below > 0 OR above > 0")
+    return out.select("stream", "column", "limit.*", "below", "above")
+
+
+def counted(declared: DataFrame, found: DataFrame, exempt: DataFrame) -> DataFrame:
+    """Streams of ``declared(stream, stated)`` whose rows in ``found(stream)`` are of another number, none counted as 0.
+
+    Streams of ``exempt(stream)``, which a finding says were skipped or cut, are left out, as are those that state no number.
+    """
+    n = found.groupBy("stream").agg(F.count("*").alias("found"))
+    asked = declared.where("stated IS NOT NULL").join(exempt.select("stream"), "stream", "left_anti")
+    return asked.join(n, "stream", "left").withColumn("found", F.coalesce("found", F.lit(0))).where("stated <> found").select("stream", "stated", "found")
+
+
+def clock_falls(rows: DataFrame, keys: Sequence[str], order: str, value: str, monotonic: Column) -> DataFrame:
+    """How often a clock falls per key: a regression where it declares itself ``monotonic``, out of order otherwise."""
+    fallen = regressions(rows.withColumn("_monotonic", F.coalesce(monotonic, F.lit(False))), keys, order, value)
+    code = F.when(F.col("_monotonic"), "time_regression").otherwise("time_out_of_order")
+    return fallen.groupBy(*keys, code.alias("code")).agg(F.count("*").alias("n"), F.max(F.col("before") - F.col(value)).alias("largest"))
+
+
 def outside_windows(runs: DataFrame, windows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Runs after the end of all windows of their key, if all have one, or before the start of all."""
     all_closed, all_begun = F.min(F.col("until").isNotNull().cast("int")) == 1, F.min(F.col("since").isNotNull().cast("int")) == 1

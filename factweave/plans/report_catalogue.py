@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import units
 from ..functions.shared import shifted, site_time
 from ..functions.vocabulary import ASSETS, TIMELINE, TIMELINE_ROWS
-from ..operators import documents, graph, intervals, readings, records, series, shifts
+from ..operators import checks, documents, graph, intervals, readings, records, series, shifts
 from ..sources import tables
 from ..sources.tables import table
 from .catalogue import AT, FACTS, MSGS, SINCE, SQL, plan
@@ -319,3 +319,46 @@ SELECT *, CASE WHEN instants < 2 THEN 'single_instant' WHEN falls > 0 THEN 'runs
 def clock_anchor_report(spark: SparkSession, d: str) -> DataFrame:
     """Which receivers' clocks can be fitted, and why others can't."""
     return series.anchor_report(series.clock_anchors(clocked(spark, d)))
+
+
+@plan("""WITH v AS (SELECT 'part:' || l_partkey AS stream, c, CASE c WHEN 'l_quantity' THEN CAST(l_quantity AS DOUBLE) ELSE CAST(l_discount AS DOUBLE) END AS value FROM lineitem, (VALUES ('l_quantity'), ('l_discount')) n(c)),
+l AS (SELECT 'part:' || p_partkey AS stream, c, CASE WHEN p_partkey % 5 = 0 THEN 'lb' ELSE 'kg' END AS unit, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE 'kg' END AS column_unit,
+  CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN c = 'l_quantity' THEN 5.0::DOUBLE ELSE 0.01::DOUBLE END AS lower, CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN c = 'l_quantity' THEN 45.0::DOUBLE ELSE 0.09::DOUBLE END AS upper
+  FROM part, (VALUES ('l_quantity'), ('l_discount')) n(c))
+SELECT stream, c AS "column", any_value(unit) AS unit, any_value(lower) AS lower, any_value(upper) AS upper, count(*) FILTER (value < lower) AS below, count(*) FILTER (value > upper) AS above
+FROM v JOIN l USING (stream, c) WHERE unit = column_unit GROUP BY stream, c HAVING below > 0 OR above > 0""")
+def declared_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Columns of lines against limits that parts declare, some of them in another or an unknown unit."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in ("l_quantity", "l_discount")]))
+    values = table(spark, d, "lineitem").select(F.concat(F.lit("part:"), "l_partkey").alias("stream"), cells.alias("x")).select("stream", "x.*")
+    k = F.col("p_partkey")
+
+    def limit(column: str, low: float, high: float):
+        return F.struct(F.lit(column).alias("column"), F.when(k % 3 != 0, F.lit(low)).alias("lower"), F.when(k % 4 != 0, F.lit(high)).alias("upper"))
+
+    both = F.explode(F.array(limit("l_quantity", 5.0, 45.0), limit("l_discount", 0.01, 0.09)))
+    unit, column_unit = F.when(k % 5 == 0, "lb").otherwise("kg"), F.when(k % 7 != 0, "kg")
+    stated = table(spark, d, "part").select(F.concat(F.lit("part:"), k).alias("stream"), unit.alias("unit"), column_unit.alias("column_unit"), both.alias("x"))
+    return checks.declared_limits(values, stated.select("stream", "unit", "column_unit", "x.*"))
+
+
+@plan("""WITH n AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_linenumber <> 6 GROUP BY 1)
+SELECT o_orderkey AS stream, max(s) AS stated, coalesce(max(n), 0) AS found FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) END AS s, o_orderstatus FROM orders)
+LEFT JOIN n ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P' AND s IS NOT NULL GROUP BY 1 HAVING max(s) <> coalesce(max(n), 0)""")
+def counts_not_exempt(spark: SparkSession, d: str) -> DataFrame:
+    """Orders that state another number of lines than were read, pending ones exempt; every sixth line was lost."""
+    lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
+    told = lines.groupBy(F.col("l_orderkey").alias("stream")).agg(F.count("*").alias("told"))
+    number = F.when(F.col("stream") % 11 != 0, F.coalesce("told", F.lit(0)))
+    stated = orders.select(F.col("o_orderkey").alias("stream")).join(told, "stream", "left").select("stream", number.alias("stated"))
+    return checks.counted(stated, lines.where("l_linenumber <> 6").select(F.col("l_orderkey").alias("stream")), orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("stream")))
+
+
+@plan("""WITH r AS (SELECT user_id AS stream, event_id, CASE WHEN event_id % 13 = 0 THEN NULL ELSE event_id * 10 - (event_id % 4) * 3000 END AS tick FROM events),
+p AS (SELECT *, last_value(tick IGNORE NULLS) OVER (PARTITION BY stream ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r)
+SELECT stream, CASE WHEN stream % 3 = 0 THEN 'time_regression' ELSE 'time_out_of_order' END AS code, count(*) AS n, max(before - tick) AS largest FROM p WHERE tick < before GROUP BY ALL""")
+def clock_falls(spark: SparkSession, d: str) -> DataFrame:
+    """Clocks of users that fall; those of every third say that they never do, of every other third nothing."""
+    n, u = F.col("event_id"), F.col("user_id")
+    rows = table(spark, d, "events").select(u.alias("stream"), n, F.when(n % 13 != 0, n * 10 - (n % 4) * 3000).alias("tick"), F.when(u % 3 == 0, True).when(u % 3 == 1, False).alias("steady"))
+    return checks.clock_falls(rows, ["stream"], "event_id", "tick", F.col("steady"))

@@ -1,6 +1,6 @@
 """Reports, documents, decoded readings and record rules on rows written by hand."""
 
-from factweave.operators import documents, graph, readings, records, series, shifts
+from factweave.operators import checks, documents, graph, readings, records, series, shifts
 
 
 def rows(df):
@@ -119,3 +119,23 @@ def test_anchors_leave_out_rows_without_time_and_other_types(spark):
     assert rows(anchors) == sorted([("p", "px4.gps_utc", 1, 10), ("p", "px4.gps_utc", 3, 9), ("a", "ardupilot.gps_time", 1, 2 * series.WEEK_MS + 5)], key=str)
     assert rows(series.anchor_report(anchors)) == [("a", "ardupilot.gps_time", 1, 1, 0, "single_instant"), ("p", "px4.gps_utc", 2, 2, 1, "runs_backward")]
     assert rows(series.anchor_report(anchors.where("false"))) == []
+
+
+def test_limits_need_equal_units_and_numbers(spark):
+    values = spark.createDataFrame([("s", "a", v) for v in (1.0, 5.0, 9.0, None, float("nan"))] + [("s", "b", 1.0), ("t", "a", 1.0)], "stream string, column string, value double")
+    limit = lambda *rows_: checks.declared_limits(values, spark.createDataFrame(list(rows_), "stream string, column string, unit string, column_unit string, lower double, upper double"))
+    assert rows(limit(("s", "a", "m", "m", 5.0, 5.0), ("s", "b", "m", None, 5.0, None), ("t", "a", "m", "ft", 5.0, None))) == [("s", "a", "m", 5.0, 5.0, 1, 1)]
+    assert rows(limit(("s", "a", "m", "m", None, 8.0), ("s", "b", None, None, 5.0, None), ("t", "a", "m", "m", 1.0, 1.0), ("u", "a", "m", "m", 9.0, None))) == [("s", "a", "m", None, 8.0, 0, 1)]
+
+
+def test_counts_leave_out_the_exempt(spark):
+    stated = spark.createDataFrame([("a", 2), ("b", 1), ("c", 3), ("d", 0), ("e", None)], "stream string, stated long")
+    found = spark.createDataFrame([("a",), ("a",), ("c",), ("d",)], "stream string")
+    assert rows(checks.counted(stated, found, spark.createDataFrame([("c",)], "stream string"))) == [("b", 1, 0), ("d", 0, 1)]
+
+
+def test_a_fall_is_named_by_what_the_clock_declares(spark):
+    r = spark.createDataFrame([("a", 1, 5, True), ("a", 2, None, True), ("a", 3, 4, True), ("a", 4, 4, True), ("b", 1, 9, None), ("b", 2, 2, None), ("b", 3, 1, None), ("c", 1, 1, False)], "s string, n int, t long, steady boolean")
+    from pyspark.sql import functions as F
+
+    assert rows(checks.clock_falls(r, ["s"], "n", "t", F.col("steady"))) == [("a", "time_regression", 1, 1), ("b", "time_out_of_order", 2, 7)]
