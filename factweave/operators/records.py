@@ -58,10 +58,19 @@ def software_conflicts(rows: DataFrame, name: str = "name", pairs: Sequence[tupl
 
 
 def superseded(revisions: DataFrame) -> DataFrame:
-    """Held revisions ``(record, document, revision, supersedes)`` that another held one of the document says it replaces, and by which."""
-    newer = revisions.select("document", F.explode(F.array_distinct("supersedes")).alias("old"), F.col("revision").alias("newer"))
-    pairs = revisions.select("record", "document", "revision").join(newer.withColumnRenamed("old", "revision"), ["document", "revision"])
-    return pairs.groupBy("record", "document", "revision").agg(F.array_join(F.array_sort(F.collect_list("newer")), ",").alias("superseded_by"))
+    """Held revisions ``(record, document, revision, supersedes)`` that another held one of the document says it replaces, and by which.
+
+    Revisions that replace one are counted and told once per document and replaced revision; records only look their text up. A record
+    that is held several times has each newer revision as often.
+    """
+    newer = revisions.select("document", F.explode(F.array_distinct("supersedes")).alias("revision"), F.col("revision").alias("newer"))
+    told = newer.groupBy("document", "revision", "newer").agg(F.count("newer").alias("n"))
+    lists = told.groupBy("document", "revision").agg(F.array_sort(F.collect_list(F.struct("newer", "n"))).alias("newer"))
+    held = revisions.groupBy("record", "document", "revision").agg(F.count("*").alias("times"))
+    times = held.select("document", "revision", "times").distinct()
+    text = F.array_join(F.flatten(F.transform("newer", lambda x: F.array_repeat(x["newer"], (x["n"] * F.col("times")).cast("int")))), ",")
+    texts = lists.join(times, ["document", "revision"]).select("document", "revision", "times", text.alias("superseded_by"))
+    return held.join(texts, ["document", "revision", "times"]).select("record", "document", "revision", "superseded_by")
 
 
 def run_software_conflicts(bindings: DataFrame, software: DataFrame, fields: Sequence[str] = ("commit", "release")) -> DataFrame:

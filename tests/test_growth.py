@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factweave.operators import documents
+from factweave.operators import documents, records
 
 
 def rows(df):
@@ -27,3 +27,14 @@ def test_pairs_of_documents_and_entities_are_not_exchanged(spark):
     want = {(d, e) for d, t in said for e, n in names if t and n and len(n) > 2 and has(t, n.lower())} | {(d, e) for d, z in covers for e, p in places if z is not None and z == p}
     assert rows(got) == sorted(want) and any(e == "e5" for _, e in want)
     assert "Exchange" not in before(got, "Union")
+
+
+def test_superseding_revisions_are_told_once_per_revision(spark):
+    # 300 records hold "a" of d, 200 say that they replace it; record 0 is held twice, and so told each of them twice.
+    held = [(k, "d", "a", None) for k in (0, *range(300))] + [(1000 + k, "d", "bc"[k % 2], ["a", "a"]) for k in range(200)] + [(5000, "e", "a", ["a"]), (5001, "f", "a", []), (5002, "f", None, ["a"])]
+    got = records.superseded(spark.createDataFrame(held, "record int, document string, revision string, supersedes array<string>"))
+    once = ",".join(["b"] * 100 + ["c"] * 100)
+    want = [(0, "d", "a", ",".join(["b"] * 200 + ["c"] * 200))] + [(k, "d", "a", once) for k in range(1, 300)] + [(5000, "e", "a", "a"), (5001, "f", "a", "")]
+    assert sorted(map(tuple, got.collect())) == want
+    # Texts meet records last: no exchange or aggregate holds a text for each record.
+    assert "Aggregate" not in before(got, "Join")
