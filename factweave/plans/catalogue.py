@@ -299,7 +299,9 @@ def change_before_fault(spark: SparkSession, d: str) -> DataFrame:
     spans = spans_of(spark, d)
     w = W.partitionBy("subject").orderBy("start", "seq").rowsBetween(W.unboundedPreceding, -1)
     other = F.when(F.col("object_text") != "error", F.struct("start", "object_text"))
-    last = spans.withColumn("last", F.last(other, ignorenulls=True).over(w)).where("object_text = 'error'")
+    # Changes of the same second are not before the fault: the first row of a second has seen only earlier ones.
+    second = W.partitionBy("subject", "start").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    last = spans.withColumn("last", F.last(other, ignorenulls=True).over(w)).withColumn("last", F.first("last").over(second)).where("object_text = 'error'")
     recent = (F.col("last.start") < F.col("start")) & (F.col("last.start") >= shifted(F.col("start"), -DAY))
     return last.select("seq", "subject", "start", F.when(recent, F.col("last.object_text")).alias("change"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from factweave.operators import documents, records
+from factweave.plans import catalogue
 
 
 def rows(df):
@@ -38,3 +39,14 @@ def test_superseding_revisions_are_told_once_per_revision(spark):
     assert sorted(map(tuple, got.collect())) == want
     # Texts meet records last: no exchange or aggregate holds a text for each record.
     assert "Aggregate" not in before(got, "Join")
+
+
+def test_a_change_in_the_second_of_the_fault_is_not_before_it(spark, tmp_path):
+    said = [("08:00:00", "view"), ("09:00:00", "click"), ("09:00:00", "error"), ("09:00:00", "signup"), ("09:00:00", "error"), ("10:00:00", "error"), ("10:00:00", "view"), ("10:00:00", "error")]
+    events = [(k, f"2024-01-01 {t}", 7, mode) for k, (t, mode) in enumerate(said)] + [(20, "2024-01-01 08:00:00", 8, "view"), (21, "2024-01-01 08:00:00", 8, "error")]
+    spark.createDataFrame(events, "event_id long, ts string, user_id long, event_type string").selectExpr(
+        "event_id", "CAST(ts AS timestamp) AS ts", "user_id", "event_type", "1D AS value", "'' AS props"
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    got = catalogue.QUERIES["change_before_fault"](spark, str(tmp_path)).select("seq", "change").collect()
+    # The fault of 09:00 goes on at 10:00, until the view of that second.
+    assert sorted(map(tuple, got)) == [(2, "view"), (4, "view"), (7, "signup"), (21, None)]
