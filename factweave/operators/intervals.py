@@ -51,13 +51,25 @@ def change_only(rows: DataFrame, keys: Sequence[str], order: Sequence[str], valu
 
 
 def sessions(rows: DataFrame, keys: Sequence[str], time: str, gap_seconds: int) -> DataFrame:
-    """Periods in which no two neighbours are more than the gap apart: start, end, n."""
-    w = W.partitionBy(*keys).orderBy(time)
-    opened = F.coalesce((seconds_between(F.lag(time).over(w), F.col(time)) > gap_seconds).cast("int"), F.lit(1))
-    return (
-        rows.withColumn("__open", opened).withColumn("__no", F.sum("__open").over(w))
-        .groupBy(*keys, "__no").agg(F.min(time).alias("start"), F.max(time).alias("end"), F.count("*").alias("n")).drop("__no")
-    )
+    """Periods in which no two neighbours are more than the gap apart: start, end, n.
+
+    Equal times are counted first, then periods found in every day, and only a day's first and last, which alone can go on
+    in another one, walk by key. What isn't a time is a period by itself.
+    """
+    counted = rows.groupBy(*keys, F.col(time).alias("start")).agg(F.count("*").alias("n")).withColumns({"end": F.col("start"), "__day": F.substring("start", 1, 10)})
+    daily = _merged(counted, [*keys, "__day"], gap_seconds)
+    day = W.partitionBy(*keys, "__day")
+    edge = F.min("start").over(day).eqNullSafe(F.col("start")) | F.max("start").over(day).eqNullSafe(F.col("start"))
+    marked = daily.withColumn("__edge", edge)
+    return _merged(marked.where("__edge"), list(keys), gap_seconds).unionByName(marked.where("NOT __edge").select(*keys, "start", "end", "n"))
+
+
+def _merged(spans: DataFrame, keys: Sequence[str], gap_seconds: int) -> DataFrame:
+    """Neighbours among ``start, end, n`` of a key that are at most the gap apart, as one."""
+    w = W.partitionBy(*keys).orderBy("start")
+    opened = F.coalesce((seconds_between(F.lag("end").over(w), F.col("start")) > gap_seconds).cast("int"), F.lit(1))
+    numbered = spans.withColumn("__open", opened).withColumn("__no", F.sum("__open").over(w))
+    return numbered.groupBy(*keys, "__no").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("__no")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], bucket_seconds: int) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from factweave.operators import documents, records
+import random
+import re
+from datetime import datetime, timedelta
+
+from factweave.operators import documents, intervals, records
 from factweave.plans import catalogue
 
 
@@ -50,3 +54,24 @@ def test_a_change_in_the_second_of_the_fault_is_not_before_it(spark, tmp_path):
     got = catalogue.QUERIES["change_before_fault"](spark, str(tmp_path)).select("seq", "change").collect()
     # The fault of 09:00 goes on at 10:00, until the view of that second.
     assert sorted(map(tuple, got)) == [(2, "view"), (4, "view"), (7, "signup"), (21, None)]
+
+
+def test_sessions_of_one_key_do_not_sort_its_rows_in_one_task(spark):
+    rng = random.Random(4)
+    at = lambda s: (datetime(2024, 1, 1) + timedelta(seconds=s)).strftime("%Y-%m-%dT%H:%M:%S")
+    said = [(k, at(int(rng.choice((200, 400, 100000)) * rng.random()) * 60)) for k in "ab" for _ in range(150)] + [("a", at(86400 - 1)), ("a", at(86400 + 899)), ("c", None), ("c", None), ("c", at(5)), ("d", "?"), ("d", "?")]
+    said += [("b", "2024-01-02Tlate"), ("b", "2024-01-02Tlate"), ("e", at(0)), ("e", at(86400 * 9)), ("f", at(86400 - 900)), ("f", at(86400)), ("f", at(86400 + 900))]
+    want = []
+    seconds = lambda t: datetime.strptime(t, "%Y-%m-%dT%H:%M:%S").timestamp() if t and "l" not in t and "?" not in t else None
+    for k in sorted({k for k, _ in said}):
+        last = None
+        for t in sorted((t for q, t in said if q == k), key=lambda t: t or ""):
+            if want and want[-1][0] == k and (t == want[-1][2] or last is not None and seconds(t) is not None and seconds(t) - last <= 900):
+                want[-1] = (k, want[-1][1], t, want[-1][3] + 1)
+            else:
+                want.append((k, t, t, 1))
+            last = seconds(t)
+    got = intervals.sessions(spark.createDataFrame(said, "k string, t string"), ["k"], "t", 900)
+    assert rows(got.select("k", "start", "end", "n")) == sorted(want, key=str)
+    # What is sent first is counted by time; a walk by key alone comes after that.
+    assert len(re.findall(r"Exchange hashpartitioning\(([^)]*)\)", got._jdf.queryExecution().executedPlan().toString())[-1].split(",")) > 2
