@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Tasks that bindings are dealt to; fewer, which Spark would choose by compressed bytes, held too many rows each.
+TASKS = 96
+
 
 def incomplete_sources(findings: DataFrame, records: DataFrame, category: str = "corrupt") -> DataFrame:
     """Counts per code, in order of the codes, of the sources with findings of a category that some record cites."""
@@ -73,15 +76,27 @@ def superseded(revisions: DataFrame) -> DataFrame:
     return held.join(texts, ["document", "revision", "times"]).select("record", "document", "revision", "superseded_by")
 
 
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """Each different row with a number of its own, the same in every run: its place among those of its hash, in steps of 1,024."""
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(1024))
+    return rows.distinct().withColumn(name, F.row_number().over(W.partitionBy(part).orderBy(*rows.columns)) * 1024 + part)
+
+
 def run_software_conflicts(bindings: DataFrame, software: DataFrame, fields: Sequence[str] = ("commit", "release")) -> DataFrame:
     """Runs ``(run, configuration)`` bound to configurations that state different values for one software on one device.
 
     ``software(configuration, name, device, commit, release)``; a software without a name is left out, one without a device has the empty one.
+    Names and values are replaced by numbers, so that no text goes with a run, and runs are dealt to ``TASKS`` tasks.
     """
-    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields]))
-    stated = software.where("name IS NOT NULL").select("configuration", "name", F.coalesce("device", F.lit("")).alias("device"), cells.alias("c")).where("c.value IS NOT NULL")
-    bound = bindings.select("run", "configuration").distinct().join(stated.select("configuration", "name", "device", "c.*"), "configuration")
-    return bound.groupBy("run", "name", "device", "field").agg(F.count_distinct("value").alias("n_values")).where("n_values > 1")
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.col(f).cast("string").alias("value")) for k, f in enumerate(fields)]))
+    stated = software.where("name IS NOT NULL AND configuration IS NOT NULL").select("configuration", "name", F.coalesce("device", F.lit("")).alias("device"), cells.alias("c")).where("c.value IS NOT NULL")
+    stated = stated.select("configuration", "name", "device", "c.*")
+    who, told = numbered(stated.select("name", "device"), "who"), numbered(stated.select("field", "value"), "code")
+    codes = stated.join(who, ["name", "device"]).join(told, ["field", "value"]).select("configuration", "who", "field", "code")
+    bound = bindings.select("run", "configuration").repartition(TASKS, "configuration").join(codes.repartition(TASKS, "configuration"), "configuration")
+    n = bound.select("run", "who", "field", "code").repartition(TASKS, "run").groupBy("run", "who", "field").agg(F.count_distinct("code").alias("n_values")).where("n_values > 1")
+    field = F.element_at(F.array(*map(F.lit, fields)), F.col("field") + 1)
+    return n.join(who, "who").select("run", "name", "device", field.alias("field"), "n_values")
 
 
 def best_guess(guesses: DataFrame, key: str, value: str, score: str) -> DataFrame:

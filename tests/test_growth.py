@@ -75,3 +75,19 @@ def test_sessions_of_one_key_do_not_sort_its_rows_in_one_task(spark):
     assert rows(got.select("k", "start", "end", "n")) == sorted(want, key=str)
     # What is sent first is counted by time; a walk by key alone comes after that.
     assert len(re.findall(r"Exchange hashpartitioning\(([^)]*)\)", got._jdf.queryExecution().executedPlan().toString())[-1].split(",")) > 2
+
+
+def test_conflicts_of_runs_send_no_names(spark):
+    rng = random.Random(7)
+    some = lambda *v: rng.choice(v)
+    software = [(some(k, k, k, None), some("nav", "arm", None), some("", None, "d"), some("1", "2", "3", None), some("1", "r", None)) for k in range(40) for _ in range(2)]
+    bound = [(rng.randrange(12), some(rng.randrange(45), None)) for _ in range(120)]
+    got = records.run_software_conflicts(spark.createDataFrame(bound, "run int, configuration int"), spark.createDataFrame(software, "configuration int, name string, device string, commit string, release string"))
+    values = {}
+    for run, b in bound:
+        for c, name, device, *told in software:
+            for field, v in zip(("commit", "release"), told):
+                if b is not None and b == c and name is not None and v is not None:
+                    values.setdefault((run, name, device or "", field), set()).add(v)
+    assert rows(got) == sorted(((*k, len(v)) for k, v in values.items() if len(v) > 1), key=str)
+    assert not re.search(r"hashpartitioning\(run#\d+L?, name#", got._jdf.queryExecution().executedPlan().toString())
