@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Tasks that values and their limits are dealt to; a small file of limits is many rows, and counts held before values meet are as many in each task.
+TASKS = 96
+
 
 def count_mismatch(declared: DataFrame, rows: DataFrame, key: str, stated: str) -> DataFrame:
     """Declared counts that differ from the rows there are; none is 0."""
@@ -58,12 +61,17 @@ def limits(rows: DataFrame, key: str, value: str, lower: Column, upper: Column)
 def declared_limits(values: DataFrame, declared: DataFrame) -> DataFrame:
     """Values of ``values(stream, column, value)`` below or above ``declared(stream, column, unit, column_unit, lower, upper)``, counted per limit.
 
-    Only where both units are known and equal; a limit may lack an end; unknown values and NaN are outside of none.
+    Only where both units are known and equal; a limit may lack an end; unknown values and NaN are outside of none. Values that
+    are inside of all limits of their column, whatever the stream, are left before limits are looked up; both sides are dealt to ``TASKS`` tasks, and neither is broadcast.
     """
     stated = declared.where("unit = column_unit AND (lower IS NOT NULL OR upper IS NOT NULL)").withColumn("limit", F.struct("unit", "lower", "upper"))
-    inside = values.where("value IS NOT NULL AND NOT isnan(CAST(value AS DOUBLE))").join(stated.select("stream", "column", "limit"), ["stream", "column"])
+    ends = F.broadcast(stated.groupBy("column").agg(F.max("lower").alias("__highest"), F.min("upper").alias("__lowest")))  # a row for a column
+    known = values.where("value IS NOT NULL AND NOT isnan(CAST(value AS DOUBLE))").join(ends, "column")
+    outside = known.where((F.col("value") < F.col("__highest")) | (F.col("value") > F.col("__lowest"))).select("stream", "column", "value")
+    dealt = lambda rows: rows.repartition(TASKS, "stream", "column")
+    met = dealt(outside).join(dealt(stated.select("stream", "column", "limit")).hint("merge"), ["stream", "column"])
     below, above = F.count_if(F.col("value") < F.col("limit.lower")), F.count_if(F.col("value") > F.col("limit.upper"))
-    out = inside.groupBy("stream", "column", "limit").agg(below.alias("below"), above.alias("above")).where("below > 0 OR above > 0")
+    out = met.groupBy("stream", "column", "limit").agg(below.alias("below"), above.alias("above")).where("below > 0 OR above > 0")
     return out.select("stream", "column", "limit.*", "below", "above")
 
 

@@ -6,8 +6,8 @@ import random
 import re
 from datetime import datetime, timedelta
 
-from factweave.operators import documents, intervals, records
-from factweave.plans import catalogue
+from factweave.operators import checks, documents, intervals, records
+from factweave.plans import catalogue, report_catalogue  # noqa: F401 (adds its plans)
 
 
 def rows(df):
@@ -91,3 +91,23 @@ def test_conflicts_of_runs_send_no_names(spark):
                     values.setdefault((run, name, device or "", field), set()).add(v)
     assert rows(got) == sorted(((*k, len(v)) for k, v in values.items() if len(v) > 1), key=str)
     assert not re.search(r"hashpartitioning\(run#\d+L?, name#", got._jdf.queryExecution().executedPlan().toString())
+
+
+def test_limits_are_dealt_out_and_not_broadcast(spark, sf_dir):
+    plan = catalogue.QUERIES["declared_limits"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") == 1  # with the ends, a row for a column
+    rng = random.Random(5)
+    number = lambda: rng.choice([None, float("nan"), *map(float, range(8))])
+    values = [(rng.choice("stu"), rng.choice("abc"), number()) for _ in range(300)]
+    limits = [(s, c, "m", rng.choice(["m", "m", None]), rng.choice([None, 2.0, 4.0]), rng.choice([None, 3.0, 5.0])) for s in "stv" for c in "ab" for _ in range(2)]
+    got = checks.declared_limits(
+        spark.createDataFrame(values, "stream string, column string, value double"), spark.createDataFrame(limits, "stream string, column string, unit string, column_unit string, lower double, upper double")
+    )
+    found = {}
+    for s, c, unit, other, low, high in limits:
+        held = [v for t, x, v in values if (t, x) == (s, c) and v is not None and v == v]
+        n = (sum(low is not None and v < low for v in held), sum(high is not None and v > high for v in held))
+        if unit == other and any(n):
+            key = (s, c, unit, low, high)
+            found[key] = tuple(map(sum, zip(found.get(key, (0, 0)), n)))
+    assert found and rows(got) == sorted(((*k, *n) for k, n in found.items()), key=str)
