@@ -7,7 +7,7 @@ import re
 from datetime import datetime, timedelta
 
 from factweave.operators import checks, documents, intervals, records
-from factweave.plans import catalogue, report_catalogue  # noqa: F401 (adds its plans)
+from factweave.plans import catalogue, report_catalogue, research  # noqa: F401 (report_catalogue adds its plans)
 
 
 def rows(df):
@@ -111,3 +111,13 @@ def test_limits_are_dealt_out_and_not_broadcast(spark, sf_dir):
             key = (s, c, unit, low, high)
             found[key] = tuple(map(sum, zip(found.get(key, (0, 0)), n)))
     assert found and rows(got) == sorted(((*k, *n) for k, n in found.items()), key=str)
+
+
+def test_observed_hours_meet_at_midnight_without_sorting_all_reports(spark):
+    stamps = [f"2024-01-0{d}T{h:02}:{m:02}:00" for d, h in ((1, 23), (2, 0)) for m in range(0, 60, 10)] * 3 + ["2024-01-04T00:00:00"]
+    periods = research.observed(spark.createDataFrame([("x" if k % 2 else "y", t) for k, t in enumerate(stamps)], "source string, t string"))
+    assert len(re.findall(r"Exchange hashpartitioning\(([^)]*)\)", periods._jdf.queryExecution().executedPlan().toString())[-1].split(",")) > 2
+    spans = spark.createDataFrame([("r", "2024-01-01T23:30:00", "2024-01-02T00:30:00")], "subject string, start string, end string")
+    events = spark.createDataFrame([("r", t) for t in ("2024-01-01T23:40:00", "2024-01-02T00:10:00", "2024-01-02T00:20:00", "2024-01-02T00:40:00")], "subject string, t string")
+    got = research.rate_when(events, spans, periods).first()
+    assert (got["with_n"], got["without_n"], got["hours"], round(got["without_hours"], 6), got["verdict"]) == (3, 1, 1.0, round(50 / 60, 6), "supported")
