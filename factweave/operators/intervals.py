@@ -72,22 +72,25 @@ def _merged(spans: DataFrame, keys: Sequence[str], gap_seconds: int) -> DataFram
     return numbered.groupBy(*keys, "__no").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("__no")
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], bucket_seconds: int) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], bucket_seconds: int, how: str = "inner") -> DataFrame:
     """Pairs of intervals (start, end) and (start2, end2) that overlap, as an equi-join on time buckets.
 
-    Ends must be set. A pair is kept in the first bucket that both lie in, so that it comes once.
+    Ends must be set. A pair is kept in the first bucket that both lie in, so that it comes once. With ``left``, a left interval
+    also comes without a partner, for each of its buckets in which no pair is kept (once, if an end is missing).
     """
 
     def bucket(t: Column) -> Column:
         return F.floor(F.unix_timestamp(F.to_timestamp(t, "yyyy-MM-dd'T'HH:mm:ss")) / bucket_seconds)
 
-    a = left.withColumn("__b", F.explode(F.sequence(bucket(F.col("start")), bucket(F.col("end")))))
+    explode = F.explode_outer if how == "left" else F.explode
+    a = left.withColumn("__b", explode(F.sequence(bucket(F.col("start")), bucket(F.col("end")))))
     b = right.withColumn("__c", F.explode(F.sequence(bucket(F.col("start2")), bucket(F.col("end2")))))
-    on = [a[k] == b[k] for k in keys] + [a["__b"] == b["__c"], a["start"] < b["end2"], a["end"] > b["start2"]]
-    joined = a.join(b, on)
+    first = F.greatest(bucket(a["start"]), bucket(b["start2"]))
+    on = [a[k] == b[k] for k in keys] + [a["__b"] == b["__c"], a["__b"] == first, a["start"] < b["end2"], a["end"] > b["start2"]]
+    joined = a.join(b, on, how)
     for k in keys:
         joined = joined.drop(b[k])
-    return joined.where(F.col("__b") == F.greatest(bucket(F.col("start")), bucket(F.col("start2")))).drop("__b", "__c")
+    return joined.drop("__b", "__c")
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, right_time: str, value: str, name: str) -> DataFrame:

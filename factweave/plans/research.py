@@ -26,13 +26,6 @@ def observed(seen: DataFrame) -> DataFrame:
     return sessions(seen.select(F.lit("site").alias("site"), "t"), ["site"], "t", GAP_SECONDS)
 
 
-def hours(spans: DataFrame, periods: DataFrame) -> DataFrame:
-    """Observed hours per subject of the intervals ``subject, start, end``."""
-    p = periods.select(F.col("start").alias("start2"), F.col("end").alias("end2"))
-    both = overlap_join(spans, p, [], 86400)
-    return both.groupBy("subject").agg((F.sum(seconds_between(F.greatest("start", "start2"), F.least("end", "end2"))) / 3600.0).alias("hours"))
-
-
 def verdict(with_n: Column, without_n: Column, with_hours: Column, without_hours: Column, expect: str) -> tuple[Column, Column]:
     """Whether a rate moved as expected (``more`` or ``fewer``), and by what ratio; both sides need events and observed time."""
     a, b = F.try_divide(with_n, with_hours), F.try_divide(without_n, without_hours)
@@ -48,14 +41,24 @@ def rate_when(events: DataFrame, spans: DataFrame, periods: DataFrame, expect: s
     """Events ``subject, t`` inside and outside the condition's intervals ``subject, start, end``, by observed hours, and a verdict.
 
     An event is inside if an interval that began by then ends later: one walk over both in order of time, and no event is compared with all intervals.
+    The walk also carries the seconds of the intervals that were observed, so that these are read once. Periods are more than ``GAP_SECONDS`` apart, so that
+    their number hangs on the time and not on the reports: they are broadcast, and intervals are never dealt by the day alone. Intervals of no subject are nobody's.
     """
-    marks = events.select("subject", "t", F.lit(None).cast("string").alias("end"), F.lit(1).alias("side")).unionByName(spans.select("subject", F.col("start").alias("t"), "end", F.lit(0).alias("side")))
+    p = F.broadcast(periods.select(F.col("start").alias("start2"), F.col("end").alias("end2")))
+    parts = overlap_join(spans.select("subject", "start", "end").where("subject IS NOT NULL"), p, [], 86400, "left")
+    met = F.when(F.col("start2").isNotNull(), seconds_between(F.greatest("start", "start2"), F.least("end", "end2")))
+    marks = events.select("subject", "t", F.lit(None).cast("string").alias("end"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("met")).unionByName(
+        parts.select("subject", F.col("start").alias("t"), "end", F.lit(0).alias("side"), met.alias("met"))
+    )
     w = W.partitionBy("subject").orderBy("t", "side").rowsBetween(W.unboundedPreceding, 0)
-    counted = marks.withColumn("until", F.max("end").over(w)).where("side = 1")
+    event = F.col("side") == 1
     inside = F.coalesce(F.col("t") < F.col("until"), F.lit(False))
-    counts = counted.groupBy("subject").agg(F.count_if(inside).alias("with_n"), F.count_if(~inside).alias("without_n"))
+    counts = (
+        marks.withColumn("until", F.max("end").over(w)).groupBy("subject")
+        .agg(F.count_if(event & inside).alias("with_n"), F.count_if(event & ~inside).alias("without_n"), (F.sum("met") / 3600.0).alias("hours")).where("with_n + without_n > 0")
+    )
     total = periods.agg((F.sum(seconds_between(F.col("start"), F.col("end"))) / 3600.0).alias("all_hours"))  # one row
-    out = counts.join(hours(spans, periods), "subject", "left").join(F.broadcast(total)).na.fill(0.0, ["hours", "all_hours"]).withColumn("without_hours", F.col("all_hours") - F.col("hours"))
+    out = counts.join(F.broadcast(total)).na.fill(0.0, ["hours", "all_hours"]).withColumn("without_hours", F.col("all_hours") - F.col("hours"))
     told, ratio = verdict(F.col("with_n"), F.col("without_n"), F.col("hours"), F.col("without_hours"), expect)
     return out.select("subject", "with_n", "without_n", "hours", "without_hours", ratio.alias("ratio"), told.alias("verdict"))
 

@@ -121,3 +121,33 @@ def test_observed_hours_meet_at_midnight_without_sorting_all_reports(spark):
     events = spark.createDataFrame([("r", t) for t in ("2024-01-01T23:40:00", "2024-01-02T00:10:00", "2024-01-02T00:20:00", "2024-01-02T00:40:00")], "subject string, t string")
     got = research.rate_when(events, spans, periods).first()
     assert (got["with_n"], got["without_n"], got["hours"], round(got["without_hours"], 6), got["verdict"]) == (3, 1, 1.0, round(50 / 60, 6), "supported")
+
+
+def test_observed_hours_do_not_gather_a_days_intervals_in_one_task(spark):
+    rng = random.Random(6)
+    at = lambda s: (datetime(2024, 1, 1) + timedelta(seconds=s)).strftime("%Y-%m-%dT%H:%M:%S")
+    periods = [(k * 9000, k * 9000 + rng.choice((0, 60, 4000, 8000))) for k in range(0, 60) if k % 9] + [(6 * 86400 - 50, 8 * 86400 + 50)]
+    spans, events = [], []
+    for who in ("a", "b", "c"):
+        t = rng.randrange(9000)
+        while t < 9 * 86400:
+            spans.append((who, t, t := t + rng.choice((1, 3600, 100000))))
+            t += rng.choice((0, 5000, 90000))
+        events += [(who, rng.choice([x for s in spans for x in s[1:]]) + rng.choice((-1, 0, 1))) for _ in range(40)]
+    spans += [(None, 0, 86400), ("d", None, 40), ("d", 8 * 86400 + 60, 9 * 86400), ("e", 0, 86400)]
+    events += [(None, 5), ("d", 39), ("d", 40), ("d", 8 * 86400 + 70), ("f", 5)]
+    text = lambda rows_: [(k, *(None if t is None else at(t) for t in ts)) for k, *ts in rows_]
+    want = []
+    for who in {k for k, _ in events}:
+        own = [(a, b) for k, a, b in spans if k == who and who is not None]
+        inside = [any((a is None or a <= t) and t < b for a, b in own) for k, t in events if k == who]
+        met = sum(min(b, q) - max(a, p) for a, b in own if a is not None for p, q in periods if a < q and b > p)
+        want.append((who, sum(inside), len(inside) - sum(inside), met, sum(q - p for p, q in periods) - met))
+    got = research.rate_when(
+        spark.createDataFrame(text(events), "subject string, t string"), spark.createDataFrame(text(spans), "subject string, start string, end string"),
+        spark.createDataFrame([(at(p), at(q)) for p, q in periods], "start string, end string"),
+    )
+    assert rows(got.selectExpr("subject", "with_n", "without_n", "round(hours * 3600)", "round(without_hours * 3600)")) == sorted(want, key=str)
+    # Events and intervals are sent by subject, once; nothing is sent by day.
+    sent = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1])
+    assert [x.split("#")[0] for x in sent] == ["subject"]
