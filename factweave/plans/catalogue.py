@@ -238,7 +238,7 @@ def utilisation_reported(spark: SparkSession, d: str) -> DataFrame:
     """Seconds by mode up to the clock in which the interval's source kept reporting."""
     spans = clocked_spans(spark, d).select("subject", "mode", "start", F.col("until").alias("end"), "source")
     periods = intervals.sessions(tables.seen(spark, d), ["source"], "t", STALE).select("source", F.col("start").alias("start2"), F.col("end").alias("end2"))
-    both = intervals.overlap_join(spans, periods, ["source"], DAY).select("subject", "mode", seconds_between(F.greatest("start", "start2"), F.least("end", "end2")).alias("seconds"))
+    both = intervals.overlap_join(spans, F.broadcast(periods), ["source"], DAY).select("subject", "mode", seconds_between(F.greatest("start", "start2"), F.least("end", "end2")).alias("seconds"))
     none = spans.select("subject", "mode", F.lit(0).cast("long").alias("seconds"))
     return both.unionByName(none).groupBy("subject", "mode").agg(F.sum("seconds").alias("seconds"))
 

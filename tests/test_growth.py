@@ -151,3 +151,14 @@ def test_observed_hours_do_not_gather_a_days_intervals_in_one_task(spark):
     # Events and intervals are sent by subject, once; nothing is sent by day.
     sent = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1])
     assert [x.split("#")[0] for x in sent] == ["subject"]
+
+
+def test_reported_intervals_are_not_dealt_by_source_and_day(spark, sf_dir):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        plan = catalogue.QUERIES["utilisation_reported"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, was)
+    assert "BroadcastHashJoin" in plan and not re.search(r"Exchange hashpartitioning\([^)]*__[bc]#", plan)
